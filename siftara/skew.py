@@ -30,3 +30,17 @@ def split_join(rows: DataFrame, keys: DataFrame, heavy: DataFrame, on: Sequence[
         .join(F.broadcast(keys.join(hot, on, "left_semi")), on, how)
         .unionByName(rows.join(hot, on, "left_anti").join(keys.join(hot, on, "left_anti"), on, how))
     )
+
+
+#: Parts that the rows of a heavy key are cut into.
+SALTS = 32
+
+
+def salted_join(left: DataFrame, right: DataFrame, heavy: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join where both sides may hold a heavy key often: its left rows are spread over SALTS parts, its right rows repeated once for each."""
+    on = list(on)
+    hot = F.broadcast(heavy.select(*on).distinct().withColumn("_hot", F.lit(True)))
+    spread = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in left.columns if c not in on]), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
+    return spread.join(repeated, [*on, "_salt"]).drop("_salt")
