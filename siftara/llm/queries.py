@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftara.llm import grouped_splits, mixing, packing, token_budget
+from siftara.llm import grouped_splits, mixing, overlap, packing, token_budget
 from siftara.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a training record and a held-out one that are the same or nearly so."""
+    pairs = overlap.SplitOverlap(table(spark, folder, "cases")).pairs()
+    return pairs.select(F.least("train_id", "eval_id").alias("case_id_a"), F.greatest("train_id", "eval_id").alias("case_id_b"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps per split and source of the held-out records."""
+    return overlap.SplitOverlap(table(spark, folder, "cases")).report()
+
+
 def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
     return mixing.Mixture(table(spark, folder, "items"), table(spark, folder, "sources"), table(spark, folder, "mix_targets"))
 
@@ -70,7 +81,7 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_shares, p2_selection, p3_found, p3_budget, p3_late_rows, p4_found, p4_splits, p6_found, p6_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_shares, p2_selection, p3_found, p3_budget, p3_late_rows, p4_found, p4_splits, p6_found, p6_containers)}
 
 _PLAIN = "nullif(regexp_replace(lower(trim({0})), '[-_. ]', '-', 'g'), '')"
 _STEM = "nullif(regexp_replace(regexp_replace(trim(regexp_replace(lower(trim(stem)), '^.*[/\\\\]', '')), '\\.py$', ''), '^test_', ''), '')"
