@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftara.llm import grouped_splits, mixing, overlap, packing, token_budget
+from siftara.llm import grouped_splits, leakage, mixing, overlap, packing, token_budget
 from siftara.tables import table
 
 
@@ -81,7 +81,23 @@ def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_shares, p2_selection, p3_found, p3_budget, p3_late_rows, p4_found, p4_splits, p6_found, p6_containers)}
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "bench_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of a test item, with the item."""
+    return _leaks(spark, folder).select("item_id", "doc_id").distinct()
+
+
+def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every test item with the number of documents that hold a passage of it."""
+    n = _leaks(spark, folder).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"))
+    items = table(spark, folder, "bench_items").select("item_id", "benchmark")
+    return items.join(n, "item_id", "left").select("item_id", "benchmark", F.coalesce("documents", F.lit(0)).alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_shares, p2_selection, p3_found, p3_budget, p3_late_rows, p4_found, p4_splits, p6_found, p6_containers, p7_found, p7_leaked_items)}
 
 _PLAIN = "nullif(regexp_replace(lower(trim({0})), '[-_. ]', '-', 'g'), '')"
 _STEM = "nullif(regexp_replace(regexp_replace(trim(regexp_replace(lower(trim(stem)), '^.*[/\\\\]', '')), '\\.py$', ''), '^test_', ''), '')"
