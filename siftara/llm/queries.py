@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftara.llm import grouped_splits, leakage, mixing, overlap, packing, token_budget
+from siftara.llm import grouped_splits, leakage, mixing, overlap, packing, reading_level, token_budget
+from siftara.llm.names import plain_lang
 from siftara.tables import table
 
 
@@ -97,7 +98,28 @@ def p7_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(n, "item_id", "left").select("item_id", "benchmark", F.coalesce("documents", F.lit(0)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_shares, p2_selection, p3_found, p3_budget, p3_late_rows, p4_found, p4_splits, p6_found, p6_containers, p7_found, p7_leaked_items)}
+def _graded(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return reading_level.grade_documents(documents, reading_level.train(documents, table(spark, folder, "level_labels")), *keep)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of level 4 or 5."""
+    return _graded(spark, folder, "doc_id").where(reading_level.demanding()).select("doc_id")
+
+
+def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """Reading levels by topic, language and source, with all subtotals."""
+    graded = _graded(spark, folder, "topic", "lang", "source").withColumn("lang", plain_lang(F.col("lang")))
+    return graded.cube("topic", "lang", "source").agg(F.grouping_id().alias("grouped"), F.count("*").alias("documents"), F.avg("grade").alias("mean_grade"), F.count_if(reading_level.demanding()).alias("demanding"))
+
+
+def p8_validation(spark: SparkSession, folder: str) -> DataFrame:
+    """Error of held-out grades by source."""
+    return reading_level.validation(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_shares, p2_selection, p3_found, p3_budget, p3_late_rows, p4_found, p4_splits, p6_found, p6_containers, p7_found, p7_leaked_items, p8_found, p8_profile, p8_validation)}
 
 _PLAIN = "nullif(regexp_replace(lower(trim({0})), '[-_. ]', '-', 'g'), '')"
 _STEM = "nullif(regexp_replace(regexp_replace(trim(regexp_replace(lower(trim(stem)), '^.*[/\\\\]', '')), '\\.py$', ''), '^test_', ''), '')"
