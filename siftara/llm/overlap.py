@@ -30,6 +30,8 @@ SEARCH_LINES = 3
 SHARD_PASSAGES = 20_000
 #: Lines that make up more than this share of all lines are ordered last; at most 1 / COMMON_SHARE of them.
 COMMON_SHARE = 0.0001
+#: Paired classes (of 16 bytes each) up to which their list is broadcast to thin out the lines before they are shuffled.
+BROADCAST_CLASSES = 500_000
 #: Parts that the training rows of a common line are spread over.
 SPREAD = 16
 
@@ -150,10 +152,11 @@ class SplitOverlap:
             (F.trim(F.coalesce("original", F.lit(""))) == "").alias("lost"), search_key(F.col("search")).alias("search_key"), plain_lines(F.col("original")).alias("lines"),
         )
         sets = F.when(F.size("lines") > 0, F.unhex(F.md5(F.array_join(F.array_sort("lines"), "\n"))))
-        self.rows = materialize(rows.withColumn("class_id", sets), "overlap-rows")
+        rows = rows.withColumn("class_id", sets)
+        self.rows = materialize(rows.drop("lines"), "overlap-rows")
         self.members = self.rows.where("class_id is not null").select("class_id", "evaluation", "case_id")
         self.counts = materialize(self.members.groupBy("class_id", "evaluation").agg(F.count("*").alias("n")), "overlap-classes")
-        self.classes = materialize(self.rows.where("class_id is not null").select("class_id", "evaluation", "lines").dropDuplicates(["class_id", "evaluation"]), "overlap-lines")
+        self.classes = materialize(rows.where("class_id is not null").select("class_id", "evaluation", "lines").dropDuplicates(["class_id", "evaluation"]), "overlap-lines")
 
     def class_pairs(self) -> DataFrame:
         """eval_class, train_class, coverage of the evaluation record: one row for each pair of different line sets, and of equal ones, that overlap."""
@@ -176,7 +179,13 @@ class SplitOverlap:
         met = salted_join(hits, postings, often, ["mark"]).where(F.least("train_n", "eval_n") >= F.greatest("train_n", "eval_n") * SHARED)
         pairs = materialize(met.select("eval_class", "train_class").distinct(), "overlap-pairs")
         busy = [materialize(heavy_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c], "n"), "overlap-busy") for c in ("eval_class", "train_class")]
-        side = lambda evaluation, name: self.classes.where(F.col("evaluation") == evaluation).select(F.col("class_id").alias(f"{name}_class"), F.col("lines").alias(f"{name}_text"))
+
+        def side(evaluation: bool, name: str) -> DataFrame:
+            """Lines of the classes that are in a pair; the others leave before the shuffle where the list of the paired ones is small."""
+            lines = self.classes.where(F.col("evaluation") == evaluation).select(F.col("class_id").alias(f"{name}_class"), F.col("lines").alias(f"{name}_text"))
+            paired = pairs.select(f"{name}_class").distinct()
+            return lines.join(F.broadcast(paired), f"{name}_class", "left_semi") if paired.count() <= BROADCAST_CLASSES else lines
+
         texts = split_join(split_join(pairs, side(False, "train"), busy[1], ["train_class"]), side(True, "eval"), busy[0], ["eval_class"])
         covered = texts.sortWithinPartitions("eval_class").select("eval_class", "train_class", "eval_text", "train_text").mapInArrow(_cover, "eval_class binary, train_class binary, coverage double, shared int, train_lines int")
         sizes = self.classes.where("evaluation").select(F.col("class_id").alias("eval_class"), F.size("lines").alias("eval_lines"))
