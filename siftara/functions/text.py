@@ -1,0 +1,163 @@
+"""Text expressions: words, windows of words, lines, and what counts as format rather than content."""
+
+from __future__ import annotations
+
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+WORD = r"[\p{L}\p{N}_]+"
+#: Lines that carry format and no content (edit-block markers and code fences), as full-line patterns without case.
+MARKER_LINES = (r"<{3,}\s*SEARCH", r"={3,}", r">{3,}\s*REPLACE", r"(?:`{3,}|~{3,})[\w+#.-]*")
+#: What marks a text as one that must never be trained on.
+CANARIES = (
+    r"canary\s+guid\s*[:=]?\s*[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}",
+    r"should\s+never\s+appear\s+in\s+training\s+corpora",
+)
+
+
+@pandas_udf("string")
+def fold(texts: pd.Series) -> pd.Series:
+    """NFKC and case folding, which the engine lacks; plain ASCII texts only change case."""
+
+    def one(t: str | None) -> str | None:
+        if t is None:
+            return None
+        return t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold()
+
+    return texts.map(one)
+
+
+def words(text: Column, *, folded: bool = False) -> Column:
+    """Words of letters, digits and underscores, without case; with ``folded`` also without width and compatibility forms. Null for null."""
+    return F.regexp_extract_all(fold(text) if folded else F.lower(text), F.lit(f"({WORD})"), 1)
+
+
+def windows(tokens: Column, n: int) -> Column:
+    """All runs of ``n`` tokens joined by blanks, in order; empty for fewer tokens."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+
+def window_set(text: Column, n: int) -> Column:
+    return F.array_distinct(windows(words(text), n))
+
+
+def lines(text: Column) -> Column:
+    """Distinct non-empty lines, stripped, in order of first appearance."""
+    stripped = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_distinct(F.filter(stripped, lambda x: x != ""))
+
+
+def is_marker(line: Column) -> Column:
+    """Whether the whole stripped line is a format marker."""
+    return F.regexp_replace(line, r"^\s+|\s+$", "").rlike("(?i)^(?:" + "|".join(MARKER_LINES) + ")$")
+
+
+def has_letters(text: Column) -> Column:
+    return text.rlike(r"\p{L}")
+
+
+def has_canary(text: Column, *, folded: bool = True) -> Column:
+    """Whether a canary stands in the text, whatever blanks or line ends part its words. False for null."""
+    plain = fold(text) if folded else F.lower(text)
+    found = F.lit(False)
+    for pattern in CANARIES:
+        found = found | plain.rlike("(?i)" + pattern)
+    return F.coalesce(found, F.lit(False))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared share of two word sets; 0 where both are empty."""
+    return F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))
+
+
+def slug(name: Column, digits: int = 6) -> Column:
+    """A file-name part: other signs become underscores, and a short digest keeps different names apart."""
+    return F.concat(F.regexp_replace(name, r"[^A-Za-z0-9._-]+", "_"), F.lit("-"), F.substring(F.sha2(name, 256), 1, digits))
+
+
+def tidy(text: Column) -> Column:
+    """One kind of line end, no blanks at line ends, at most one empty line in a row, no outer blanks."""
+    t = F.regexp_replace(text, r"\r\n?", "\n")
+    t = F.regexp_replace(t, r"(?m)[ \t]+$", "")
+    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def clip_tail(text: Column, limit: int, notice: str = "[earlier text cut]") -> Column:
+    """The end of a text within ``limit`` characters, from the start of a line where the cut part has one, after a notice line."""
+    tail = F.right(text, F.lit(limit))
+    at = F.locate("\n", tail)
+    whole = F.when((at > 0) & (at < F.length(tail)), F.substring(tail, at + 1, F.lit(limit))).otherwise(tail)
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.lit(notice + "\n"), whole))
+
+
+def neutralize(text: Column, tokens: list[str]) -> Column:
+    """Special tokens with a full-width opening bracket, longest first, so that none stays inside another."""
+    for token in sorted(tokens, key=len, reverse=True):
+        text = F.replace(text, F.lit(token), F.lit(token.replace("<", "＜")))
+    return text
+
+
+def last_letter(text: Column, options: str = "ABCD") -> Column:
+    """The answer letter of a reply: after the word answer where it stands, else the last letter that stands alone; null without one."""
+    marked = F.regexp_extract(text, rf"(?i)answer\s*(?:is)?\s*[:=]?\s*\(?([{options}])\b", 1)
+    alone = F.regexp_extract_all(text, F.lit(rf"\b([{options}])\b"), 1)
+    return F.coalesce(F.nullif(F.upper(marked), F.lit("")), F.try_element_at(alone, F.lit(-1)))
+
+
+@pandas_udf("double")
+def most_common_share(texts: pd.Series) -> pd.Series:
+    """Share of the most frequent character that is no blank; 0 without one."""
+
+    def one(t: str | None) -> float:
+        body = "".join((t or "").split())
+        return max(map(body.count, set(body))) / len(body) if body else 0.0
+
+    return texts.map(one)
+
+
+@pandas_udf("array<string>")
+def leaf_texts(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Strings, numbers and truth values inside a JSON text, in order, without object keys; null where it is no JSON."""
+    import json
+
+    def walk(v: object) -> list[str]:
+        if v is None:
+            return []
+        if isinstance(v, bool):
+            return [str(v).lower()]
+        if isinstance(v, dict):
+            return [t for x in v.values() for t in walk(x)]
+        if isinstance(v, list):
+            return [t for x in v for t in walk(x)]
+        return [str(v)]
+
+    def one(t: str | None) -> list[str] | None:
+        try:
+            return None if t is None else walk(json.loads(t))
+        except ValueError:
+            return None
+
+    for series in values:
+        yield series.map(one)
+
+
+@pandas_udf("string")
+def canonical_json(values: pd.Series) -> pd.Series:
+    """JSON with sorted keys, no blanks and plain characters, so that equal contents have equal digests; null where it is no JSON."""
+    import json
+
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(json.loads(t), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        except ValueError:
+            return None
+
+    return values.map(one)

@@ -44,3 +44,12 @@ def salted_join(left: DataFrame, right: DataFrame, heavy: DataFrame, on: Sequenc
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(hot, on, "left").withColumn("_salt", F.explode(parts)).drop("_hot")
     return spread.join(repeated, [*on, "_salt"]).drop("_salt")
+
+
+#: Rows up to which a checked side is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when a count that stops early finds at most ``rows`` rows, else as it is, to be shuffled."""
+    return F.broadcast(df) if len(df.select(F.lit(1)).limit(rows + 1).collect()) <= rows else df
