@@ -6,25 +6,29 @@ passage is then measured: an automaton over all passages of the evaluation recor
 matched intervals are merged into the covered part of the evaluation record.
 
 Only rare passages are searched for in the first scan: records that share 60 % of their lines share at least one of the
-first 40 % and one more, in any fixed order of lines, so an order by frequency keeps common helper lines out of it
-without losing a pair. Records with the same set of lines are one class until the end.
+first 40 % and one more, and k of the first 40 % and k more, in any fixed order of lines; an order by frequency keeps
+common helper lines out of it without losing a pair. Records with the same set of lines are one class until the end.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import md5
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftara.skew import heavy_keys, salted_join, split_join
+from siftara.skew import broadcast_checked, heavy_keys, salted_join, split_join
 from siftara.storage import materialize
 
 SHARED = 0.6
+#: Rare lines in which a pair has to meet before it is measured.
+MEET = 3
 SEARCH_LINES = 3
 #: Passages in one automaton.
 SHARD_PASSAGES = 20_000
@@ -36,38 +40,66 @@ BROADCAST_CLASSES = 500_000
 SPREAD = 16
 
 
-def plain_lines(code: Column) -> Column:
+_DOCSTRING = re.compile(r"(?m)^[ \t]*[rubf]{0,2}(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')")
+_COMMENT = re.compile(r"""^((?:[^#"'\n]|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')*+)#.*$""", re.M)
+
+
+def plain_lines(code: str | None) -> list[str]:
     """Distinct lines without whitespace, letter case, comments, docstring lines and empty lines."""
-    code = F.regexp_replace(F.lower(code), r"\r\n?", "\n")
-    code = F.regexp_replace(code, r"(?m)^[ \t]*[rubf]{0,2}(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')", "")
-    commented = F.regexp_replace(code, r"(?m)^((?:[^#\"'\n]|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')*+)#.*$", "$1")
-    code = F.when(F.contains(code, F.lit("#")), commented).otherwise(code)
-    return F.array_distinct(F.filter(F.split(F.regexp_replace(code, r"[\s &&[^\n]]+", ""), "\n"), lambda x: x != ""))
+    code = (code or "").lower()
+    if "\r" in code:
+        code = code.replace("\r\n", "\n").replace("\r", "\n")
+    code = _DOCSTRING.sub("", code)
+    if "#" in code:
+        code = _COMMENT.sub(r"\1", code)
+    return [x for x in dict.fromkeys("".join(line.split()) for line in code.split("\n")) if x]
 
 
-def search_key(block: Column) -> Column:
-    """Hash of a search block without whitespace and letter case; null unless it has SEARCH_LINES non-empty lines."""
-    lines = F.filter(F.split(block, r"\r\n?|\n"), lambda x: F.trim(x) != "")
-    return F.when(F.size(lines) >= SEARCH_LINES, F.md5(F.regexp_replace(F.lower(block), r"[\s ]+", "")))
+def search_key(block: str | None) -> bytes | None:
+    """Hash of a search block without whitespace and letter case; None unless it has SEARCH_LINES non-empty lines."""
+    if block is None or sum(1 for x in block.splitlines() if x.strip()) < SEARCH_LINES:
+        return None
+    return md5("".join(block.lower().split()).encode()).digest()
 
 
-def prefix_size(n: int) -> int:
-    """Lines of which one must be shared when at least SHARED of the lines of either record are."""
-    return n - int(np.ceil(SHARED * n - 1e-9)) + 1
+def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns that are kept, whether the original is lost, the search key, and the lines with the hash of their set."""
+    for batch in batches:
+        originals, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        lines = [plain_lines(t) for t in originals]
+        sets = [md5("\n".join(sorted(x)).encode()).digest() if x else None for x in lines]
+        lost = [t is None or not t.strip() for t in originals]
+        columns = [*batch.columns[2:], pa.array(lost, pa.bool_()), pa.array(map(search_key, blocks), pa.binary()), pa.array(sets, pa.binary()), pa.array(lines, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[2:], "lost", "search_key", "class_id", "lines"])
+
 
+def least_shared(n: np.ndarray) -> np.ndarray:
+    """Lines of a record of ``n`` lines that are in both when at least SHARED of the lines of either record are."""
+    return np.ceil(SHARED * n - 1e-9).astype(np.int64)
 
-def _rare_lines(classes: DataFrame, common: dict[int, int]) -> DataFrame:
-    """class_id, evaluation, n, line: the first lines of each class in the order of frequency, then hash."""
+
+def _rare_lines(classes: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
+    """class_id, evaluation, n, line, mark, common: the first lines of each class in the order of frequency, then hash.
+
+    Two records that share m lines share at least MEET of the first n - m + MEET lines of each.
+    """
+    known = np.array(sorted(common), dtype=np.int64).reshape(-1, 2)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sides, lines, hashes = (batch.column(i).to_pylist() for i in range(4))
-            out: list[tuple[bytes, bool, int, str, int, bool]] = []
-            for i, side, own, marks in zip(ids, sides, lines, hashes):
-                order = sorted(zip(marks, own), key=lambda x: (common.get(x[0], 0), x[0]))
-                out += [(i, side, len(own), line, mark, mark in common) for mark, line in order[: prefix_size(len(own))]]
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.bool_()))], ["class_id", "evaluation", "n", "line", "mark", "common"])
+            lines, marks = batch.column(2), batch.column(3).flatten().to_numpy()
+            n = np.diff(lines.offsets.to_numpy())
+            row = np.repeat(np.arange(len(n)), n)
+            often = np.zeros(len(marks), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known[:, 0], marks), len(known) - 1)
+                often = np.where(known[at, 0] == marks, known[at, 1], 0)
+            order = np.lexsort((marks, often, row))
+            place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
+            share = least_shared(n)
+            first = order[place < np.repeat(n - share + np.minimum(MEET, share), n)]
+            owner = pa.array(row[first])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(n[row[first]], pa.int32()), lines.flatten().take(pa.array(first)), pa.array(marks[first]), pa.array(often[first] > 0)], ["class_id", "evaluation", "n", "line", "mark", "common"])
 
     hashed = classes.select("class_id", "evaluation", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
     return hashed.mapInArrow(choose, "class_id binary, evaluation boolean, n int, line string, mark long, common boolean")
@@ -147,23 +179,23 @@ class SplitOverlap:
     """
 
     def __init__(self, cases: DataFrame, *, train: str = "train"):
-        rows = cases.where("split is not null").select(
-            "case_id", "case_key", "source", "split", (F.col("split") != train).alias("evaluation"),
-            (F.trim(F.coalesce("original", F.lit(""))) == "").alias("lost"), search_key(F.col("search")).alias("search_key"), plain_lines(F.col("original")).alias("lines"),
-        )
-        sets = F.when(F.size("lines") > 0, F.unhex(F.md5(F.array_join(F.array_sort("lines"), "\n"))))
-        rows = rows.withColumn("class_id", sets)
-        self.rows = materialize(rows.drop("lines"), "overlap-rows")
+        kinds = dict(cases.dtypes)
+        rows = cases.where("split is not null").select("original", "search", "case_id", "case_key", "source", "split", (F.col("split") != train).alias("evaluation"))
+        schema = f"case_id {kinds['case_id']}, case_key {kinds['case_key']}, source {kinds['source']}, split string, evaluation boolean, lost boolean, search_key binary, class_id binary, lines array<string>"
+        self.rows = materialize(rows.mapInArrow(_normalise, schema), "overlap-rows")
         self.members = self.rows.where("class_id is not null").select("class_id", "evaluation", "case_id")
-        self.counts = materialize(self.members.groupBy("class_id", "evaluation").agg(F.count("*").alias("n")), "overlap-classes")
-        self.classes = materialize(rows.where("class_id is not null").select("class_id", "evaluation", "lines").dropDuplicates(["class_id", "evaluation"]), "overlap-lines")
+        self.counts = materialize(self.members.groupBy("class_id", "evaluation").agg(F.count("*").alias("n"), F.min("case_id").alias("first")), "overlap-classes")
+        # the first record stands for its class; the list of the others is broadcast while it is small
+        others = self.members.join(self.counts.where("n > 1").select("class_id", "evaluation", "first"), ["class_id", "evaluation"]).where("case_id > first").select("case_id")
+        lines = self.rows.where("class_id is not null").select("case_id", "class_id", "evaluation", "lines")
+        self.classes = lines.join(broadcast_checked(materialize(others, "overlap-copies"), BROADCAST_CLASSES), "case_id", "left_anti").drop("case_id")
 
     def class_pairs(self) -> DataFrame:
         """eval_class, train_class, coverage of the evaluation record: one row for each pair of different line sets, and of equal ones, that overlap."""
         spark = self.rows.sparkSession
         marks = self.classes.select(F.explode(F.transform("lines", lambda x: F.xxhash64(x))).alias("mark")).groupBy("mark").count()
         total = self.classes.agg(F.sum(F.size("lines"))).first()[0] or 0
-        common = {r["mark"]: r["count"] for r in marks.where(F.col("count") > max(1.0, total * COMMON_SHARE)).collect()}
+        common = [(r["mark"], r["count"]) for r in marks.where(F.col("count") > max(1.0, total * COMMON_SHARE)).collect()]
         rare = materialize(_rare_lines(self.classes, common), "overlap-rare")
         passages = rare.where("evaluation").select("mark", "line", "common").dropDuplicates(["mark", "line"])
         shards = max(spark.sparkContext.defaultParallelism, -(-passages.count() // SHARD_PASSAGES))
@@ -177,14 +209,15 @@ class SplitOverlap:
         postings = rare.where("evaluation").select("mark", F.col("class_id").alias("eval_class"), F.col("n").alias("eval_n"))
         often = heavy_keys(postings.groupBy("mark").agg(F.count("*").alias("n")), ["mark"], "n")
         met = salted_join(hits, postings, often, ["mark"]).where(F.least("train_n", "eval_n") >= F.greatest("train_n", "eval_n") * SHARED)
-        pairs = materialize(met.select("eval_class", "train_class").distinct(), "overlap-pairs")
+        need = F.least(F.lit(MEET), F.ceil(F.min(F.least("train_n", "eval_n")) * SHARED - 1e-9))
+        pairs = materialize(met.groupBy("eval_class", "train_class").agg(F.count("*").alias("met"), need.alias("need")).where("met >= need").select("eval_class", "train_class"), "overlap-pairs")
         busy = [materialize(heavy_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c], "n"), "overlap-busy") for c in ("eval_class", "train_class")]
 
         def side(evaluation: bool, name: str) -> DataFrame:
             """Lines of the classes that are in a pair; the others leave before the shuffle where the list of the paired ones is small."""
             lines = self.classes.where(F.col("evaluation") == evaluation).select(F.col("class_id").alias(f"{name}_class"), F.col("lines").alias(f"{name}_text"))
             paired = pairs.select(f"{name}_class").distinct()
-            return lines.join(F.broadcast(paired), f"{name}_class", "left_semi") if paired.count() <= BROADCAST_CLASSES else lines
+            return lines.join(broadcast_checked(paired, BROADCAST_CLASSES), f"{name}_class", "left_semi")
 
         texts = split_join(split_join(pairs, side(False, "train"), busy[1], ["train_class"]), side(True, "eval"), busy[0], ["eval_class"])
         covered = texts.sortWithinPartitions("eval_class").select("eval_class", "train_class", "eval_text", "train_text").mapInArrow(_cover, "eval_class binary, train_class binary, coverage double, shared int, train_lines int")
