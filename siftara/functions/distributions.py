@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftara.functions.text import let
+
 FLOOR = 1e-12
 
 
@@ -17,15 +19,13 @@ def total(values: Column) -> Column:
 
 def normalize(values: Column) -> Column:
     """Values over their sum; null where the sum is not positive."""
-    s = total(values)
-    return F.when(s > 0, F.transform(values, lambda x: x / s))
+    return let(values, lambda v: let(total(v), lambda s: F.when(s > 0, F.transform(v, lambda x: x / s))))
 
 
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
     """Shifted by the maximum; null for an empty array."""
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
-    top = F.array_max(logits)
-    return normalize(F.transform(logits, lambda x: F.exp((x - top) / t)))
+    return let(F.array_max(logits), lambda top: normalize(F.transform(logits, lambda x: F.exp((x - top) / t))))
 
 
 def mean_of(views: list[Column]) -> Column:
@@ -52,9 +52,11 @@ def first_maximum(probs: Column) -> Column:
 
 def tie_credit(probs: Column, gold: Column) -> Column:
     """1 over the number of tied maxima if gold is one of them, else 0."""
-    top = F.array_max(probs)
-    ties = F.size(F.filter(probs, lambda p: p == top))
-    return F.when(F.get(probs, gold) == top, F.lit(1.0) / ties).otherwise(0.0)
+
+    def credit(top: Column) -> Column:
+        return F.when(F.get(probs, gold) == top, F.lit(1.0) / F.size(F.filter(probs, lambda p: p == top))).otherwise(0.0)
+
+    return let(F.array_max(probs), credit)
 
 
 def negative_log(probs: Column, gold: Column) -> Column:

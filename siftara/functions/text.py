@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 #: Lines that carry format and no content (edit-block markers and code fences), as full-line patterns without case.
@@ -20,7 +21,7 @@ CANARIES = (
 )
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """NFKC and case folding, which the engine lacks; plain ASCII texts only change case."""
 
@@ -37,12 +38,21 @@ def words(text: Column, *, folded: bool = False) -> Column:
     return F.regexp_extract_all(fold(text) if folded else F.lower(text), F.lit(f"({WORD})"), 1)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, worked out once. Inside a lambda an outer expression is worked out again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def windows(tokens: Column, n: int) -> Column:
     """All runs of ``n`` tokens joined by blanks, in order; empty for fewer tokens."""
     if n < 1:
         raise ValueError("n must be at least 1")
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+
+    def runs(own: Column) -> Column:
+        starts = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(own, i, n), " "))
+
+    return let(tokens, runs)
 
 
 def window_set(text: Column, n: int) -> Column:
@@ -112,7 +122,7 @@ def last_letter(text: Column, options: str = "ABCD") -> Column:
     return F.coalesce(F.nullif(F.upper(marked), F.lit("")), F.try_element_at(alone, F.lit(-1)))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def most_common_share(texts: pd.Series) -> pd.Series:
     """Share of the most frequent character that is no blank; 0 without one."""
 
@@ -123,7 +133,7 @@ def most_common_share(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@pandas_udf("array<string>")
+@pandas_udf(ArrayType(StringType()))
 def leaf_texts(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Strings, numbers and truth values inside a JSON text, in order, without object keys; null where it is no JSON."""
     import json
@@ -149,7 +159,7 @@ def leaf_texts(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(one)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def canonical_json(values: pd.Series) -> pd.Series:
     """JSON with sorted keys, no blanks and plain characters, so that equal contents have equal digests; null where it is no JSON."""
     import json

@@ -32,8 +32,10 @@ class Screen:
         whole = F.struct(F.lit("exact").alias("rule"), F.array_join(T.words(text, folded=self.folded), " ").alias("unit"), F.lit(0).alias("place"), F.substring(text, 1, 120).alias("line"))
 
         def of_line(line: Column, at: Column) -> Column:
-            words = T.words(line, folded=False) if not self.folded else F.regexp_extract_all(line, F.lit(f"({T.WORD})"), 1)
-            joined = F.array_join(words, " ")
+            words = F.regexp_extract_all(line, F.lit(f"({T.WORD})"), 1) if self.folded else T.words(line)
+            return T.let(words, lambda own: T.let(F.array_join(own, " "), lambda joined: of_words(line, at, own, joined)))
+
+        def of_words(line: Column, at: Column, words: Column, joined: Column) -> Column:
             long_ = F.size(words) >= self.line_words
             short = ~long_ & T.has_letters(joined) & ~T.is_marker(line)
             unit = lambda rule, value: F.struct(F.lit(rule).alias("rule"), value.alias("unit"), (at + 1).alias("place"), F.substring(line, 1, 120).alias("line"))
