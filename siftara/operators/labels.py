@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,10 @@ def conflicting_labels(labels: DataFrame, keys: list[str], value: str) -> DataFr
     return labels.groupBy(*keys).agg(F.countDistinct(value).alias("values")).where("values > 1")
 
 
+def _times(w: float) -> Callable[[Column], Column]:
+    return lambda x: w * x
+
+
 def combine(named: Mapping[str, Column], *, method: str = "mean", weights: Mapping[str, float] | None = None, temperatures: Mapping[str, tuple[float, float]] | None = None, missing: str = "renormalize") -> Column:
     """One distribution from several. ``method``: mean, calibrated_mean (powers by ``temperatures`` (stored, wanted) first) or logpool.
 
@@ -59,7 +63,7 @@ def combine(named: Mapping[str, Column], *, method: str = "mean", weights: Mappi
     zero = F.array_repeat(F.lit(0.0), size)
     total = zero
     for probs, w in parts:
-        total = F.zip_with(total, F.coalesce(probs, zero), lambda a, x, w=w: a + w * x)
+        total = F.zip_with(total, F.transform(F.coalesce(probs, zero), _times(w)), lambda a, x: a + x)
     mixed = F.transform(total, lambda x: x / weight)
     out = D.softmax(mixed) if method == "logpool" else D.normalize(mixed)
     if missing == "drop":
