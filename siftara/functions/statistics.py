@@ -13,6 +13,7 @@ from siftara.functions.hashing import digest, number
 
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054, *, pinned: bool = True) -> tuple[Column, Column]:
     """Wilson score interval. Null for n <= 0. ``pinned``: exactly 0 below for no success and 1 above for all."""
+    n = F.nullif(n.cast("double"), F.lit(0.0))
     p = successes / n
     spread = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     centre = (p + z * z / (2 * n)) / (1 + z * z / n)
@@ -39,8 +40,8 @@ def spearman(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataF
     """Rank correlation per group; null where either series is constant. Rows with a null in either column are left out first."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = tied_rank(tied_rank(both, x, "_rx", groups), y, "_ry", groups)
-    varied = (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
-    return ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.when(varied, F.corr("_rx", "_ry")).alias("rho"))
+    rho = F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry"))
+    return ranked.groupBy(*groups).agg(F.count("*").alias("n"), rho.alias("rho"))
 
 
 def rank_percentile(values: Column, share: float, *, upper: bool) -> Column:
