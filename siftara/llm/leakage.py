@@ -1,7 +1,7 @@
 """Passages of evaluation items inside a corpus, found by q-gram counting in diagonal bands.
 
 Item and document are read as streams of letters and digits without blanks, so markup, line layout and word breaks do
-not matter. A passage of WINDOW words with an edit in one word of ten keeps a minimum of its character q-grams on nearby
+not matter. A passage of 20 words or more with an edit in one word of ten keeps a minimum of its character q-grams on nearby
 diagonals, whatever the edits are; that minimum is worked out for each item from its own words. Regions of a document
 where an item reaches its minimum within two overlapping bands are then aligned word by word with at most the same number
 of edits. Nothing else is compared.
@@ -19,14 +19,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-Q = 10
-WINDOW, EDITS = 20, 2
-#: Words of an item that an alignment must cover: a passage of WINDOW words whose edits stand at its ends shows two fewer.
-ALIGNED = WINDOW - EDITS
+Q = 12
+#: Shortest passage in words, and one edit for how many words.
+WINDOW, RATE = 20, 10
+#: Edits and the words they need. A longer passage can be cut in two of which one is as good, so no more are needed.
+PASSAGES = ((2, WINDOW), (3, 30))
+MOST = 3
+#: Words of an item that an alignment with 0, 1, ... edits must cover: edits at the ends of a passage do not show.
+ENOUGH = tuple(max(WINDOW, RATE * e) - 2 for e in range(MOST + 1))
 #: Common words in a row that such an alignment has at least once.
-RUN = -(-(ALIGNED - EDITS) // (EDITS + 1))
-#: Width of a band of diagonals; bands overlap by half, so that edits within half a band never leave a region.
-BAND = 64
+RUN = min(-(-(n - e) // (e + 1)) for e, n in enumerate(ENOUGH))
+#: Width of a band of diagonals; bands overlap by half, so that MOST edits, of 20 letters each, never leave a region.
+BAND = 128
 #: Added to diagonals so that none is negative: over the characters of one block.
 ORIGIN = 1 << 27
 #: Characters of items held in one index; more items are searched in further blocks.
@@ -82,19 +86,24 @@ def _grams(data: np.ndarray) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     eight = np.lib.stride_tricks.sliding_window_view(data, 8)
     low = np.ascontiguousarray(eight[:n]).view(np.uint64).ravel()
-    high = data[8 : 8 + n].astype(np.uint64) | (data[9 : 9 + n].astype(np.uint64) << np.uint64(8))
+    high = np.zeros(n, dtype=np.uint64)
+    for k in range(8, Q):
+        high |= data[k : k + n].astype(np.uint64) << np.uint64(8 * (k - 8))
     with np.errstate(over="ignore"):
         mixed = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
         return mixed ^ (mixed >> np.uint64(29))
 
 
 def least_grams(lengths: np.ndarray) -> int:
-    """The fewest q-grams that any WINDOW words of these lengths keep after EDITS words are replaced, added or dropped."""
-    if len(lengths) < WINDOW:
-        return 0
-    windows = np.lib.stride_tricks.sliding_window_view(lengths, WINDOW)
-    lost = np.sort(windows, axis=1)[:, -EDITS:].sum(axis=1) + EDITS * (Q - 1)
-    return max(1, int((windows.sum(axis=1) - Q + 1 - lost).min()))
+    """The fewest q-grams that a passage of words of these lengths keeps when its edits replace, add or drop the longest ones; 0 for too few words."""
+    least = 0
+    for edits, words in PASSAGES:
+        if len(lengths) >= words:
+            windows = np.lib.stride_tricks.sliding_window_view(lengths, words)
+            lost = np.sort(windows, axis=1)[:, -edits:].sum(axis=1) + edits * (Q - 1)
+            kept = max(1, int((windows.sum(axis=1) - Q + 1 - lost).min()))
+            least = min(least or kept, kept)
+    return least
 
 
 @dataclass
@@ -194,11 +203,10 @@ def _reach(item: list[str], doc: list[str], i: int, j: int, step: int, edits: in
 
 
 def aligned(item: Item, doc: list[str], places: np.ndarray, low: int, high: int) -> int:
-    """The most item words covered by an alignment with at most EDITS edits that has a run of RUN words between two diagonals.
+    """The most item words covered by an alignment with a run between two diagonals, with e edits only where ENOUGH[e] words are covered; 0 without such a one.
 
-    An alignment of ALIGNED item words with EDITS edits has a run of at least RUN common words, so it is grown from such
-    runs in both directions. ``places`` are the character places of the document words; a diagonal is the place in the
-    document less the place in the item.
+    It has RUN common words in a row somewhere, so it is grown from such runs in both directions. ``places`` are the
+    character places of the document words; a diagonal is the place in the document less the place in the item.
     """
     best = 0
     done: set[tuple[int, int]] = set()
@@ -210,8 +218,11 @@ def aligned(item: Item, doc: list[str], places: np.ndarray, low: int, high: int)
                 done.add((i, j))
                 continue
             done.add((i, j))
-            ahead, back = _reach(item.words, doc, i, j, 1, EDITS), _reach(item.words, doc, i - 1, j - 1, -1, EDITS)
-            best = max(best, *(ahead[e] + back[EDITS - e] for e in range(EDITS + 1)))
+            ahead, back = _reach(item.words, doc, i, j, 1, MOST), _reach(item.words, doc, i - 1, j - 1, -1, MOST)
+            for e, enough in enumerate(ENOUGH):
+                n = max(ahead[k] + back[e - k] for k in range(e + 1))
+                if n >= enough:
+                    best = max(best, n)
     return best
 
 
@@ -232,11 +243,11 @@ def _find(index: ItemIndex, ids: list, texts: list[str | None]) -> tuple[list[in
                 lo = np.searchsorted(starts[d], max(0, diagonal - BAND), side="right") - 1
                 hi = np.searchsorted(starts[d], diagonal + BAND * 2 + item.starts[-1], side="left")
                 lo, hi = max(0, lo), max(0, hi)
-                if best.get((d, i), 0) < ALIGNED:
+                if not best.get((d, i)):
                     n = aligned(item, words[d][lo:hi], starts[d][lo:hi], diagonal - BAND // 2, diagonal + BAND * 3 // 2)
-                    best[d, i] = max(best.get((d, i), 0), n)
+                    best[d, i] = n
             for (d, i), n in best.items():
-                if n >= ALIGNED:
+                if n:
                     out[0].append(index.items[i].key)
                     out[1].append(owner[d])
                     out[2].append(n)
@@ -265,9 +276,9 @@ def own_text(text: str | None) -> str:
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """item_id, doc_id and words: every document that holds a passage of an item, with the item words aligned (at least ALIGNED).
+    """item_id, doc_id and words: every document that holds a passage of an item, with the item words aligned.
 
-    A passage is a run of WINDOW words of the item's own text with at most EDITS words replaced, added or dropped. Items
+    A passage is a run of at least WINDOW words of the item's own text with at most one in RATE replaced, added or dropped. Items
     with fewer words, and null or empty texts of either side, give no rows. Items are a stated query set: they are read
     in blocks of BLOCK_CHARS characters, each block an index of bounded size that every document is compared with.
     Repeated document rows give repeated rows; other columns are not read.
