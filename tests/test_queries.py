@@ -1,9 +1,9 @@
 import pytest
 
-from siftara.plans import corpus, general, judging, pipelines, records
+from siftara.plans import corpus, general, judging, pipelines, records, sequences
 from tests.oracle import DATA, same, views
 
-PLANS = [general, corpus, judging, records, pipelines]
+PLANS = [general, corpus, judging, records, pipelines, sequences]
 CASES = [(name, plan) for plan in PLANS for name in plan.QUERIES]
 
 
