@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftara.functions import text as T
 from siftara.functions.hashing import digest
 from siftara.operators import requests as Q
+from siftara.operators import results as P
 from siftara.operators import runlog
 from siftara.plans.registry import Registry
 from siftara.tables import table
@@ -178,3 +179,60 @@ def run_coverage(spark: SparkSession, folder: str) -> DataFrame:
     w = table(spark, folder, "deliveries").where("run_id is not null").groupBy("run_id").agg(F.bool_or(F.col("status") == "ok").alias("ok"))
     i = table(spark, folder, "items").select("run_id").distinct().join(w, "run_id", "left")
     return i.agg(F.count("*").alias("requests"), F.count_if(F.col("ok").isNull()).alias("missing"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+_FIRST = "first as (select * from (select *, row_number() over (partition by run_id order by received_at, delivery_id) as r from deliveries where run_id is not null) where r = 1)"
+_LAST = "last as (select * from (select *, row_number() over (partition by run_id order by received_at desc, delivery_id desc) as r from deliveries where run_id is not null) where r = 1)"
+_GOOD = "good as (select * from first where json_valid(response))"
+_OPTIONS = """answers as (
+        select run_id, 'q1' as question, json_extract_string(response, '$.answers.q1.type') as type, unnest(json_keys(response, '$.answers.q1.probabilities')) as option, response from good where json_extract(response, '$.answers.q1.probabilities') is not null),
+    options as (
+        select run_id, question, type, option, json_extract(response, '$.answers.q1.probabilities.' || option)::double as probability from answers
+        union all select run_id, 'q1', json_extract_string(response, '$.answers.q1.type'), o, case when o = 'true' then json_extract(response, '$.answers.q1.noul')::double else 1 - json_extract(response, '$.answers.q1.noul')::double end
+            from good, (values ('false'), ('true')) t(o) where json_extract(response, '$.answers.q1.noul') is not null and json_extract(response, '$.answers.q1.probabilities') is null)"""
+
+
+def _edge(spark: SparkSession, folder: str, latest: bool) -> DataFrame:
+    """The first or the last message of every run_id as it is written."""
+    d = table(spark, folder, "deliveries").where("run_id is not null").select("run_id", "received_at", "delivery_id", "payload_sha256", "response", "status", "group_id")
+    row, by = F.struct(*[c for c in d.columns if c != "run_id"]), F.struct("received_at", "delivery_id")
+    return d.groupBy("run_id").agg((F.max_by if latest else F.min_by)(row, by).alias("r")).select("run_id", "r.*")
+
+
+@R.add(f"with {_FIRST}, {_GOOD}, {_OPTIONS} select run_id, question, type, option, round(probability, 6) as probability from options")
+def probability_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Probability of every option of every answer."""
+    return P.option_table(_edge(spark, folder, False), ["run_id"], "response").withColumn("probability", F.round("probability", 6))
+
+
+@R.add(f"with {_FIRST}, {_LAST} select coalesce(a.run_id, b.run_id) as run_id, case when a.payload_sha256 is null or b.payload_sha256 is null then 'unknown' when a.payload_sha256 = b.payload_sha256 then 'same' else 'different' end as state from first a full join last b on a.run_id = b.run_id")
+def payload_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the first and the last message of a run carry the same payload."""
+    return P.payload_states(_edge(spark, folder, False), _edge(spark, folder, True), "run_id", "payload_sha256")
+
+
+@R.add(f"""with {_FIRST}, {_GOOD}, {_OPTIONS}, sums as (select run_id, question, sum(probability) as s from options group by run_id, question), per as (select run_id, bool_and(abs(s - 1) <= 0.001) as good from sums group by run_id)
+    select case when p.good is null then 'missing' when p.good then 'ok' else 'bad' end as state, count(*) as n from (select distinct run_id from items) i left join per p on p.run_id = i.run_id group by 1""")
+def answer_states(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests by the state of their answer."""
+    options = P.option_table(_edge(spark, folder, False), ["run_id"], "response")
+    return P.answer_states(table(spark, folder, "items"), options, "run_id", "option", "probability").groupBy("state").agg(F.count("*").alias("n"))
+
+
+@R.add(f"with {_FIRST} select group_id, count(*) as n from first group by group_id having bool_and(coalesce(status = 'ok', false))")
+def complete_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups all of whose runs came out well."""
+    return P.complete_groups(_edge(spark, folder, False), "group_id", F.col("status") == "ok")
+
+
+@R.add("with n as (select greatest(1, (count(*) + 99) // 100) as n from documents) select doc_id, floor(('0x' || substr(sha256('e:3:' || doc_id::varchar), 1, 8))::bigint / 4294967296.0 * n)::bigint as slice from documents, n")
+def epoch_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in slices of about a hundred for one epoch."""
+    return P.epoch_slices(table(spark, folder, "documents"), "doc_id", 100, "e", 3)
+
+
+@R.add("select doc_id from documents d where not exists (select 1 from documents m where m.doc_id = d.doc_id and m.doc_kind <> 'code' and m.text is not null)")
+def resume_pending(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that a resumed run has left, where all but code was done."""
+    d = table(spark, folder, "documents").select("doc_id", F.sha2("text", 256).alias("input"), "doc_kind")
+    return P.pending(d, d.where("doc_kind <> 'code'"), ["doc_id", "input"]).select("doc_id")
