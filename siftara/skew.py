@@ -21,7 +21,7 @@ def split_join(rows: DataFrame, keys: DataFrame, heavy: DataFrame, on: Sequence[
     """``rows`` join ``keys`` with the heavy keys broadcast and the others shuffled.
 
     ``keys`` must hold each key once, so that the broadcast part has at most as many rows as ``heavy`` (1,000, see
-    ``heavy_keys``). ``how`` is inner, left_semi or left_anti. Rows with a null key match nothing.
+    ``heavy_keys``). ``how`` is inner, left, left_semi or left_anti. Rows with a null key match nothing.
     """
     on = list(on)
     hot = F.broadcast(heavy)

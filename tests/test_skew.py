@@ -9,6 +9,8 @@ def test_split_and_salted_joins_are_plain_joins(spark):
     for how in ("inner", "left_semi", "left_anti"):
         plain = sorted(map(tuple, rows.where("k is not null").join(keys, "k", how).collect()))
         assert sorted(map(tuple, split_join(rows.where("k is not null"), keys, heavy, ["k"], how).collect())) == plain
+    outer = lambda d: sorted(map(tuple, d.select("k", "x", "y").collect()), key=repr)
+    assert outer(split_join(rows, keys, heavy, ["k"], "left")) == outer(rows.join(keys, "k", "left"))
     twice = keys.unionByName(keys)
     assert sorted(map(tuple, salted_join(rows, twice, heavy, ["k"]).collect())) == sorted(map(tuple, rows.join(twice, "k").collect()))
 
