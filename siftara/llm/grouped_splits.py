@@ -55,6 +55,14 @@ def _union_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": nodes, "label": [find(x) for x in nodes]})
 
 
+def _renamed(named: DataFrame, labels: DataFrame) -> DataFrame:
+    """``named`` with its labels replaced by the labels that those got as nodes; a label that very many nodes have is joined by broadcast."""
+    held = named.withColumnRenamed("label", "old")
+    often = heavy_keys(held.groupBy("old").agg(F.count("*").alias("n")), ["old"], "n")
+    new = labels.select(F.col("node").alias("old"), F.col("label").alias("new"))
+    return split_join(held, new, often, ["old"], "left").select("node", F.coalesce("new", "old").alias("label"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and label for each node of the edges (a, b); nodes have one label exactly when a path joins them. Nulls and loops link nothing."""
     edges = edges.where("a is not null and b is not null and a <> b")
@@ -74,7 +82,7 @@ def components(edges: DataFrame) -> DataFrame:
             reached = reached.unionByName(front)
         rest = degree.select(F.col("a").alias("node")).join(reached, "node", "left_anti").select("node", F.col("node").alias("label"))
         labels = materialize(reached.unionByName(rest), "labels")
-        named = labels if named is None else materialize(named.withColumnRenamed("label", "old").join(labels.select(F.col("node").alias("old"), F.col("label").alias("new")), "old", "left").select("node", F.coalesce("new", "old").alias("label")), "named")
+        named = labels if named is None else materialize(_renamed(named, labels), "named")
         # colliding labels are the edges of the label graph
         left = split_join(edges, labels.withColumnRenamed("node", "a"), heavy, ["a"]).select("b", F.col("label").alias("la"))
         crossing = split_join(left, labels.withColumnRenamed("node", "b"), heavy.withColumnRenamed("a", "b"), ["b"]).where("la <> label")
@@ -86,7 +94,7 @@ def components(edges: DataFrame) -> DataFrame:
     if n == 0:
         return named
     last = materialize(edges.repartition(1).mapInPandas(_union_small, "node binary, label binary"), "last-labels")
-    return materialize(named.withColumnRenamed("label", "old").join(last.select(F.col("node").alias("old"), F.col("label").alias("new")), "old", "left").select("node", F.coalesce("new", "old").alias("label")), "components")
+    return materialize(_renamed(named, last), "components")
 
 
 class GroupedSplits:
@@ -105,12 +113,13 @@ class GroupedSplits:
         self.nodes = materialize(joined, "nodes")
         roots = self.nodes.groupBy("label").agg(F.min("own").alias("root_group"), F.sum("n").alias("records"))
         self.roots = materialize(roots, "roots")
+        self.giants = heavy_keys(self.nodes.groupBy("label").agg(F.count("*").alias("n")), ["label"], "n")
         self.heavy = heavy_keys(self.nodes, ["node"], "n")
         self.rows = rows.select("key", "own", node.alias("node"))
 
     def rooted(self) -> DataFrame:
         """key, own group, root_group and label of every record that has a group or a stem."""
-        by_node = self.nodes.select("node", "label").join(self.roots.select("label", "root_group"), "label")
+        by_node = split_join(self.nodes.select("node", "label"), self.roots.select("label", "root_group"), self.giants, ["label"])
         return split_join(self.rows.where("node is not null"), by_node, self.heavy, ["node"]).select("key", "own", "root_group", "label")
 
     def moved(self) -> DataFrame:
@@ -160,7 +169,7 @@ class GroupedSplits:
         for s, bound in reversed(list(zip(list(left)[:-1], bounds))):
             choice = F.when(F.col("turn") < bound, s).otherwise(choice)
         by_label = turns.join(placed, "turn", "left").select("label", F.coalesce("split", choice).alias("split"))
-        grouped = self.nodes.select("node", "label").join(self.roots.select("label", "root_group").join(by_label, "label"), "label")
+        grouped = split_join(self.nodes.select("node", "label"), self.roots.select("label", "root_group").join(by_label, "label"), self.giants, ["label"])
         linked = split_join(self.rows.where("node is not null"), grouped, self.heavy, ["node"]).select("key", "root_group", "split")
         single = self.rows.where("node is null").select("key", F.lit(None).cast("string").alias("root_group"), F.md5(F.concat_ws(":", F.lit(seed), F.col("key").cast("string"))).alias("turn")).select("key", "root_group", choice.alias("split"))
         return linked.unionByName(single).withColumnRenamed("key", self.key)

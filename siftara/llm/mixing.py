@@ -180,5 +180,5 @@ class Mixture:
         turn = F.md5(F.concat_ws("\n", F.lit(self.seed), "example_id"))
         placed = running_sum(self.members.select("example_id", "pattern", turn.alias("turn"), F.lit(1).alias("one")), ["pattern"], "turn", "one", "place")
         inside = F.pmod(F.col("place") - F.col("first"), F.col("n")) < F.col("take")
-        chosen = placed.join(broadcast_small(self.blocks, 100_000), "pattern").where(inside)
+        chosen = placed.join(broadcast_small(self.blocks, MAX_CELLS), "pattern").where(inside)
         return chosen.groupBy("mix_id", "source_key", "example_id").agg(F.count("*").cast("int").alias("copies"))
