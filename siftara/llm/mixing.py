@@ -137,7 +137,9 @@ class Mixture:
         counted = self.members.groupBy("pattern").agg(F.count("*").alias("n"))
         asked = targets.join(sources.where("role = 'train' and source_key is not null").groupBy("source_key").agg(F.max("cap").alias("cap")), "source_key").where("weight > 0 and not isnan(weight)")
         wanted = asked.groupBy("mix_id", "source_key").agg(F.sum("weight").alias("weight"), F.greatest(F.lit(1), F.coalesce(F.max("max_repeats"), F.lit(1))).alias("max_repeats"), F.max("cap").alias("cap")).limit(MAX_CELLS).collect()
-        patterns = {tuple(r["pattern"]): r["n"] for r in counted.limit(MAX_CELLS).collect()}
+        # sorted, so that the flow takes the same one of several equal ways whatever order the rows come in
+        wanted.sort(key=lambda r: r["source_key"])
+        patterns = dict(sorted((tuple(r["pattern"]), r["n"]) for r in counted.limit(MAX_CELLS).collect()))
         mixes = defaultdict(list)
         for r in wanted:
             mixes[r["mix_id"]].append(r)

@@ -26,7 +26,7 @@ DISGUISES = [
 ]
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_planted_passages(spark, seed):
     rng = random.Random(seed)
     items = [(i, f"Answer with one letter\n{' '.join(text(rng, 60))}", "x") for i in range(30)] + [(98, None, "x"), (99, "Only an instruction", "x")]

@@ -40,7 +40,7 @@ def records(n, seed, copies=0.0):
     return out
 
 
-@pytest.mark.parametrize(("n", "seed", "copies"), [(80, 1, 0), (120, 2, 0.5), (40, 3, 0)])
+@pytest.mark.parametrize(("n", "seed", "copies"), [(80, 1, 0), (120, 2, 0.5)])
 def test_pairs_are_brute_force(spark, n, seed, copies):
     rows = records(n, seed, copies)
     assert found(spark, rows) == brute(rows)
