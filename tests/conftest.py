@@ -10,6 +10,6 @@ from siftara.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[4]", shuffle_partitions=4, spark__sql__adaptive__coalescePartitions__enabled="true")
+    session = build_session("local[8]", shuffle_partitions=3)
     session.sparkContext.setLogLevel("ERROR")
     yield session
