@@ -120,6 +120,37 @@ def route(patterns: dict[tuple[str, ...], int], targets: dict[str, float], repea
     return {s: net.flow(a) for s, a in quota.items()}, {k: f for k, a in uses.items() if (f := net.flow(a)) > EPS}
 
 
+def allot(flows: dict[tuple[str, ...], float], patterns: dict[tuple[str, ...], int], repeats: int, size: int) -> dict[tuple[str, ...], tuple[int, int]]:
+    """Whole copies and different examples that one source takes of each pattern, from its flows over all uses.
+
+    The copies add up to the rounded flow of the source, the different examples to at most ``size``, and no example is
+    used more than ``repeats`` times. The levels of the flow are not taken as they are: the cap binds each level of the
+    source as a whole, so a pattern can have its flow at the later levels only.
+    """
+    copies = {p: int(f + 1e-6) for p, f in flows.items()}
+    fraction = sorted(flows, key=lambda p: copies[p] - flows[p])
+    for p in fraction[: max(0, round(sum(flows.values())) - sum(copies.values()))]:
+        copies[p] += 1
+    over = {p: copies[p] % repeats for p in copies if copies[p] % repeats}
+    room = size - sum(c // repeats for c in copies.values())
+    if len(over) > room:  # examples that are not used up share the places that are left
+        spare = sum(over.values())
+        for k, p in enumerate(sorted(over, key=lambda p: -over[p])):
+            kept = min(repeats, spare) if k < room else 0
+            copies[p] += kept - over[p]
+            spare -= kept
+    copies = {p: c for p, c in copies.items() if c}
+    most = lambda level: {p: min(patterns[p], -(-c // level)) for p, c in copies.items()}
+    level = next(k for k in range(1, repeats + 1) if k == repeats or sum(most(k).values()) <= size)
+    different, finer = most(level), most(max(1, level - 1))
+    left = size - sum(different.values())
+    for p in different:
+        more = min(left, finer[p] - different[p])
+        different[p] += more
+        left -= more
+    return {p: (c, different[p]) for p, c in copies.items()}
+
+
 class Mixture:
     """The mixtures of ``targets`` over ``items``.
 
@@ -160,15 +191,16 @@ class Mixture:
             for r in rows:
                 s = r["source_key"]
                 report.append((mix, s, r["weight"] / weight, goal[s], got[s], got[s] / reached if reached else 0.0, size[s], repeats[s], got[s] < goal[s] - EPS * max(1.0, goal[s])))
+            flows: defaultdict[str, defaultdict[tuple[str, ...], float]] = defaultdict(lambda: defaultdict(float))
+            for (p, s, _), f in sorted(uses.items()):
+                flows[s][p] += f
             at: defaultdict[tuple[str, ...], int] = defaultdict(int)
-            for p, s, r in sorted(uses):
-                if r > 1:
-                    continue
-                # levels of one source start at the same place, so the examples used twice are among those used once
-                for k in range(1, repeats[s] + 1):
-                    if take := min(patterns[p], round(uses.get((p, s, k), 0.0))):
-                        blocks.append((mix, s, list(p), patterns[p], at[p] % patterns[p], take))
-                at[p] += round(uses[p, s, r])
+            for s in sorted(flows):
+                for p, (copies, different) in allot(flows[s], patterns, repeats[s], int(size[s])).items():
+                    # levels of one source start at the same place, so the examples used twice are among those used once
+                    for done in range(0, copies, different):
+                        blocks.append((mix, s, list(p), patterns[p], at[p] % patterns[p], min(different, copies - done)))
+                    at[p] += different
         kind = dict(targets.dtypes)["mix_id"]
         self.shares = spark.createDataFrame(report, f"mix_id {kind}, source_key string, target_share double, target double, reached double, reached_share double, size double, max_repeats int, short boolean")
         self.blocks = spark.createDataFrame(blocks, f"mix_id {kind}, source_key string, pattern array<string>, n long, first long, take long")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from siftara.llm.mixing import Mixture, route
+from siftara.llm.mixing import Mixture, allot, route
 
 ITEMS, SOURCES, TARGETS = "example_id string, source string, weight string", "source_key string, hf_id string, role string, cap long", "mix_id int, source_key string, weight double, max_repeats int"
 
@@ -57,3 +57,54 @@ def test_edges(spark):
     assert mix.select().collect() == [] and mix.short_sources().collect() == []
     mix = mixture(spark, [("e", "a", "")], [], [])
     assert mix.shares.collect() == []
+
+
+def chosen_copies(mix):
+    """Copies of every example by mix and source."""
+    out: dict = {}
+    for r in mix.select().collect():
+        out.setdefault((r["mix_id"], r["source_key"]), {})[r["example_id"]] = r["copies"]
+    return out
+
+
+def test_capped_source_takes_all_that_reaches_it(spark):
+    items = [(f"a{i}", "s", "") for i in range(150)] + [(f"b{i}", x, "") for i in range(80) for x in "st"]
+    sources = [("s", None, "train", 100), ("t", None, "train", None), ("u", None, "train", None)]
+    mix = mixture(spark, items + [(f"u{i}", "u", "") for i in range(150)], sources, [(1, "s", 1.0, 3), (1, "u", 0.0001, 1)])
+    reached = {r["source_key"]: r["reached"] for r in mix.shares.collect()}
+    got = chosen_copies(mix)[1, "s"]
+    assert sum(got.values()) == round(reached["s"]) == 250  # 250 minus 0.025 is asked for
+    assert len(got) == 100 and max(got.values()) <= 3 and {e[0] for e in got} == {"a", "b"}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_selected_copies_are_what_is_reached(spark, seed):
+    rng = random.Random(seed)
+    names = "abcd"
+    items = [(f"e{i}", s, "") for i in range(120) for s in rng.sample(names, rng.randrange(1, 4))]
+    sources = [(s, None, "train", rng.choice([7, 20, 33])) for s in names]
+    targets = [(m, s, rng.choice([0.2, 1.0, 3.0]), rng.choice([1, 2, 3, 5])) for m in range(4) for s in names]
+    mix = mixture(spark, items, sources, targets)
+    got = chosen_copies(mix)
+    for r in mix.shares.collect():
+        own = got.get((r["mix_id"], r["source_key"]), {})
+        assert abs(sum(own.values()) - r["reached"]) <= 0.5 + 1e-6
+        assert len(own) <= r["size"] and max(own.values(), default=0) <= r["max_repeats"]
+
+
+def test_allot_keeps_the_cap():
+    patterns = {("a",): 2, ("a", "b"): 2, ("a", "c"): 2}
+    got = allot(dict.fromkeys(patterns, 2.0), patterns, 3, 2)
+    assert sum(c for c, _ in got.values()) == 6 and sum(d for _, d in got.values()) == 2 and all(c <= 3 * d and d <= 2 for c, d in got.values())
+    rng = random.Random(3)
+    for _ in range(300):
+        repeats = rng.randrange(1, 5)
+        patterns = {("s", str(k)): rng.randrange(1, 9) for k in range(5)}
+        size = rng.randrange(1, sum(patterns.values()) + 1)
+        flows, left = {}, float(repeats * size)
+        for p, n in patterns.items():
+            flows[p] = min(left, rng.random() * repeats * n)
+            left -= flows[p]
+        got = allot(flows, patterns, repeats, size)
+        assert abs(sum(c for c, _ in got.values()) - sum(flows.values())) <= 0.5 + 1e-6
+        assert sum(d for _, d in got.values()) <= size and all(d <= patterns[p] and d <= c <= repeats * d for p, (c, d) in got.items())
