@@ -18,7 +18,7 @@ from siftara.llm.names import broadcast_small, plain_name, registry_names
 from siftara.llm.ranking import running_sum
 from siftara.storage import materialize
 
-#: Bound on what the flow is solved over in the driver: patterns times mixes. Patterns are at most as many as sets of sources that occur together.
+#: Bound on what the flow is solved over in the driver: patterns times mixes, and sources of mixes. Patterns are at most as many as sets of sources that occur together.
 MAX_CELLS = 1_000_000
 EPS = 1e-9
 
@@ -167,7 +167,9 @@ class Mixture:
         self.members = materialize(held, "mix-members")
         counted = self.members.groupBy("pattern").agg(F.count("*").alias("n"))
         asked = targets.join(sources.where("role = 'train' and source_key is not null").groupBy("source_key").agg(F.max("cap").alias("cap")), "source_key").where("weight > 0 and not isnan(weight)")
-        wanted = asked.groupBy("mix_id", "source_key").agg(F.sum("weight").alias("weight"), F.greatest(F.lit(1), F.coalesce(F.max("max_repeats"), F.lit(1))).alias("max_repeats"), F.max("cap").alias("cap")).limit(MAX_CELLS).collect()
+        wanted = asked.groupBy("mix_id", "source_key").agg(F.sum("weight").alias("weight"), F.greatest(F.lit(1), F.coalesce(F.max("max_repeats"), F.lit(1))).alias("max_repeats"), F.max("cap").alias("cap")).limit(MAX_CELLS + 1).collect()
+        if len(wanted) > MAX_CELLS:
+            raise ValueError(f"over {MAX_CELLS} sources of mixes")
         # sorted, so that the flow takes the same one of several equal ways whatever order the rows come in
         wanted.sort(key=lambda r: r["source_key"])
         patterns = dict(sorted((tuple(r["pattern"]), r["n"]) for r in counted.limit(MAX_CELLS).collect()))

@@ -108,3 +108,10 @@ def test_allot_keeps_the_cap():
         got = allot(flows, patterns, repeats, size)
         assert abs(sum(c for c, _ in got.values()) - sum(flows.values())) <= 0.5 + 1e-6
         assert sum(d for _, d in got.values()) <= size and all(d <= patterns[p] and d <= c <= repeats * d for p, (c, d) in got.items())
+
+
+def test_too_many_targets_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr("siftara.llm.mixing.MAX_CELLS", 5)
+    names = "abc"
+    with pytest.raises(ValueError, match="sources of mixes"):
+        mixture(spark, [("e", "a", "")], [(s, None, "train", None) for s in names], [(m, s, 1.0, 1) for m in range(2) for s in names])
