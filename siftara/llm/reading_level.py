@@ -21,6 +21,8 @@ from siftara.llm.prose import letters, sentences
 LABEL_ROWS = 20_000
 #: Fewest rated documents that a model is trained on.
 LEAST_LABELS = 20
+#: Fewest rated documents that a small model of single splits, without calibration, is trained on; below it there are no grades.
+FEW_LABELS = 6
 FOLDS = 5
 LONG_SENTENCE, LONG_WORD, LONG_SHARE = 17, 10, 0.2
 #: Grade from which documents are checked for being of level 4 or 5; below the border of 3.5 by the noise of the ratings.
@@ -73,12 +75,28 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(rows, pa.list_(pa.float64()))], ["source", "level", "features"])
 
 
+def _small_trees(rows: int) -> BoostedTrees:
+    return BoostedTrees(trees=40, depth=1, least_rows=max(1, rows // 4))
+
+
 class LevelModel:
-    """Trees with a calibration; ``held_out`` has source, rated level and the calibrated grade predicted without that source's fold."""
+    """Trees with a calibration; ``held_out`` has source, rated level and the calibrated grade predicted without that source's fold.
+
+    With fewer than LEAST_LABELS rows the model is ``small``: single splits, whose predictions are the grades, kept to 1 to 5.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, sources: Sequence[str | None]):
         folds = np.array([_fold(s) for s in sources])
         out = np.full(len(y), float(y.mean()))
+        self.small = len(y) < LEAST_LABELS
+        if self.small:
+            for k in range(FOLDS):
+                if (folds == k).any() and (folds != k).any():
+                    out[folds == k] = _small_trees(int((folds != k).sum())).fit(x[folds != k], y[folds != k]).predict(x[folds == k])
+            self.knots = np.array([1.0, 5.0]), np.array([1.0, 5.0])
+            self.held_out = list(zip(sources, y.tolist(), np.interp(out, *self.knots).tolist()))
+            self.trees = _small_trees(len(y)).fit(x, y)
+            return
         for k in range(FOLDS):
             if (folds == k).any() and (folds != k).sum() >= LEAST_LABELS:
                 out[folds == k] = BoostedTrees().fit(x[folds != k], y[folds != k]).predict(x[folds == k])
@@ -96,7 +114,7 @@ class LevelModel:
 
 
 def train(documents: DataFrame, labels: DataFrame) -> LevelModel | None:
-    """A model from at most LABEL_ROWS rated documents; None where fewer than LEAST_LABELS have a rating.
+    """A model from at most LABEL_ROWS rated documents; a small one where fewer than LEAST_LABELS have a rating, None where fewer than FEW_LABELS have.
 
     The level of a document is the mean of its ratings; null ratings, ratings of unknown documents and of null doc_id are left out.
     """
@@ -104,7 +122,7 @@ def train(documents: DataFrame, labels: DataFrame) -> LevelModel | None:
     chosen = rated.orderBy(F.md5(F.col("doc_id").cast("string"))).limit(LABEL_ROWS)
     rows = documents.select("text", "source", "doc_id").join(F.broadcast(chosen), "doc_id").select("text", "source", "level")
     got = rows.mapInArrow(_feature_rows, "source string, level double, features array<double>").toPandas()
-    if len(got) < LEAST_LABELS:
+    if len(got) < FEW_LABELS:
         return None
     got["at"] = [tuple(x) for x in got["features"]]
     got = got.sort_values(["level", "at"], kind="stable")  # the same model in whatever order the rows come
@@ -112,9 +130,9 @@ def train(documents: DataFrame, labels: DataFrame) -> LevelModel | None:
 
 
 def grade_documents(documents: DataFrame, model: LevelModel | None, *keep: str) -> DataFrame:
-    """The columns ``keep`` with grade (calibrated, 1 to 5), level (rounded), words_per_sentence and long_words of every document.
+    """The columns ``keep`` with grade (calibrated, 1 to 5), level (rounded), words_per_sentence, long_words and sure of every document.
 
-    Without a model, or without prose, grade and level are null.
+    Without a model, or without prose, grade and level are null. ``sure`` says whether the model has LEAST_LABELS rated documents.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -129,12 +147,12 @@ def grade_documents(documents: DataFrame, model: LevelModel | None, *keep: str)
 
     kinds = dict(documents.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "grade double, words_per_sentence double, long_words double"])
-    return documents.select("text", *[f"`{c}`" for c in keep]).mapInArrow(grade, schema).withColumn("level", F.round("grade").cast("int"))
+    return documents.select("text", *[f"`{c}`" for c in keep]).mapInArrow(grade, schema).withColumn("level", F.round("grade").cast("int")).withColumn("sure", F.lit(model is not None and not model.small))
 
 
 def demanding() -> Column:
-    """Whether a graded document is of level 4 or 5: graded as such by the model and, checked exactly, with long sentences and many long words."""
-    return (F.col("grade") >= DEMANDING) & (F.col("words_per_sentence") > LONG_SENTENCE) & (F.col("long_words") > LONG_SHARE)
+    """Whether a graded document is of level 4 or 5: graded as such by the model and, checked exactly, with long sentences and many long words. Without a sure model the exact limits decide alone."""
+    return (~F.col("sure") | (F.col("grade") >= DEMANDING)) & (F.col("words_per_sentence") > LONG_SENTENCE) & (F.col("long_words") > LONG_SHARE)
 
 
 def validation(documents: DataFrame, labels: DataFrame) -> DataFrame:

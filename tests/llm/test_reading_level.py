@@ -64,3 +64,16 @@ def test_no_labels(spark):
     assert R.train(docs, labels) is None
     assert R.grade_documents(docs, None, "doc_id").where("grade is not null").count() == 0
     assert R.grade_documents(docs.limit(0), None, "doc_id").collect() == [] and R.validation(docs, labels.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("labelled", [0, 5, 7, 19])
+def test_few_labels_lose_no_demanding_document(spark, labelled):
+    docs, labels = frames(spark, labelled)
+    model = R.train(docs, labels)
+    graded = R.grade_documents(docs, model, "doc_id")
+    assert {r["doc_id"] for r in graded.where(R.demanding()).collect()} == {i for i in range(300) if i % 3 == 0}
+    assert (model is not None) == (labelled >= R.FEW_LABELS)
+    grades = {r["doc_id"]: r["grade"] for r in graded.where("grade is not null").collect()}
+    if model is not None:
+        assert len(grades) == 300 and all(1 <= g <= 5 for g in grades.values()) and len(model.held_out) == labelled
+        assert np.mean([grades[i] for i in range(0, 300, 3)]) > np.mean([grades[i] for i in range(1, 300, 3)]) + 1
