@@ -245,7 +245,18 @@ class SplitOverlap:
         return reduce(DataFrame.unionByName, [by_key, *by_search, by_lines]).distinct()
 
     def report(self) -> DataFrame:
-        """Per split and source of the evaluation records: records, how many overlap, and how many pairs."""
+        """Per split and source of the evaluation records: records, how many overlap, how many pairs, and the last two for each training source.
+
+        A record that overlaps with several training sources counts in each of them, so they may add up to more than ``overlapping``.
+        """
         other = self.rows.where("evaluation").select(F.col("case_id").alias("eval_id"), "split", "source")
-        n = self.pairs().groupBy("eval_id").agg(F.count("*").alias("partners"))
-        return other.join(n, "eval_id", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
+        pairs = materialize(self.pairs(), "overlap-found")
+        n = pairs.groupBy("eval_id").agg(F.count("*").alias("partners"))
+        whole = other.join(n, "eval_id", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
+        origin = self.rows.where("not evaluation").select(F.col("case_id").alias("train_id"), F.col("source").alias("train_source")).distinct()
+        busy = heavy_keys(pairs.groupBy("train_id").agg(F.count("*").alias("n")), ["train_id"], "n")
+        each = split_join(pairs, origin, busy, ["train_id"]).groupBy("eval_id", "train_source").agg(F.count("*").alias("partners"))
+        each = other.join(each, "eval_id").groupBy("split", "source", "train_source").agg(F.count("*").alias("overlapping"), F.sum("partners").alias("pairs"))
+        listed = each.groupBy(F.col("split").alias("_split"), F.col("source").alias("_source")).agg(F.array_sort(F.collect_list(F.struct("train_source", "overlapping", "pairs"))).alias("train_sources"))
+        joined = whole.join(listed, F.col("split").eqNullSafe(F.col("_split")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_split", "_source")
+        return joined.withColumn("train_sources", F.coalesce("train_sources", F.array().cast(dict(listed.dtypes)["train_sources"])))

@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Overlaps per split and source of the held-out records."""
+    """Overlaps per split and source of the held-out records, and for each training source."""
     return overlap.SplitOverlap(table(spark, folder, "cases")).report()
 
 

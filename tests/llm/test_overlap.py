@@ -76,3 +76,22 @@ def test_report_counts_every_evaluation_record(spark):
     got = SplitOverlap(spark.createDataFrame(rows, SCHEMA)).report().collect()
     assert sum(r["records"] for r in got) == sum(r[5] in ("val", "test") for r in rows)
     assert sum(r["overlapping"] for r in got) == len(pairs) and sum(r["pairs"] for r in got) == sum(pairs.values())
+
+
+def with_sources(n, seed):
+    rng = random.Random(seed)
+    return [(*r[:4], rng.choice(["one", "two", "three", None]), *r[5:]) for r in records(n, seed)]
+
+
+def test_report_names_training_sources(spark):
+    rows = with_sources(80, 6)
+    at = {r[0]: r for r in rows}
+    pairs = brute(rows)
+    wanted = {}
+    for s in {at[e][4:6] for _, e in pairs}:
+        for t in {at[t][4] for t, e in pairs if at[e][4:6] == s}:
+            own = [e for a, e in pairs if at[e][4:6] == s and at[a][4] == t]
+            wanted[s[1], s[0], t] = (len(set(own)), len(own))
+    got = SplitOverlap(spark.createDataFrame(rows, SCHEMA)).report().collect()
+    assert {(r["split"], r["source"], x["train_source"]): (x["overlapping"], x["pairs"]) for r in got for x in r["train_sources"]} == wanted
+    assert sum(r["pairs"] for r in got) == sum(x["pairs"] for r in got for x in r["train_sources"]) == len(pairs) and sum(r["overlapping"] for r in got) == len({e for _, e in pairs})
