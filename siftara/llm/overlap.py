@@ -168,6 +168,37 @@ def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([eval_id, train_id, pa.array(covered, pa.float64()), pa.array(shared, pa.int32()), pa.array(sizes, pa.int32())], ["eval_class", "train_class", "coverage", "shared", "train_lines"])
 
 
+def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The merged intervals of each evaluation record that its training records hold. Rows come sorted by evaluation record; one with no interval has one row of no characters.
+
+    Passages are whole lines, each once in a record, so two intervals are the same or apart and merging them leaves each once.
+    """
+    last, automaton, total, seen = None, None, 0, set()
+    for batch in batches:
+        eval_id, eval_class, eval_lines, train_lines = (batch.column(i) for i in range(4))
+        rows, starts, chars, totals = [], [], [], []
+        for k, (e, c) in enumerate(zip(eval_id.to_pylist(), eval_class.to_pylist())):
+            if (e, c) != last:
+                if last is None or c != last[1]:
+                    automaton, total = ahocorasick.Automaton(), 0
+                    for line in eval_lines[k].as_py():
+                        automaton.add_word(f"\n{line}\n", (total, total + len(line)))
+                        total += len(line)
+                    automaton.make_automaton()
+                last, seen = (e, c), {(0, 0)}
+                found = [(0, 0)]
+            else:
+                found = []
+            found += sorted({x for _, x in automaton.iter("\n" + "\n".join(train_lines[k].as_py()) + "\n")} - seen)
+            seen.update(found)
+            rows += [k] * len(found)
+            starts += [a for a, _ in found]
+            chars += [b - a for a, b in found]
+            totals += [total] * len(found)
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([eval_id.take(at), eval_class.take(at), pa.array(starts, pa.int32()), pa.array(chars, pa.int32()), pa.array(totals, pa.int32())], ["eval_id", "eval_class", "start", "chars", "total"])
+
+
 class SplitOverlap:
     """Overlaps between the training split of ``cases`` and its other splits.
 
@@ -244,15 +275,36 @@ class SplitOverlap:
         by_lines = salted_join(member(True, "eval"), by_lines, hot("eval"), ["eval_class"]).select("train_id", "eval_id")
         return reduce(DataFrame.unionByName, [by_key, *by_search, by_lines]).distinct()
 
+    def coverage(self, pairs: DataFrame) -> DataFrame:
+        """eval_id, coverage: the share of the line characters of an evaluation record that its partners in ``pairs`` hold, all of them together.
+
+        Records without lines, and records whose partners all have none, have no row. Of repeated rows with the same case_id the greatest share counts.
+        """
+        member = lambda evaluation, name: self.members.where(F.col("evaluation") == evaluation).select(F.col("class_id").alias(f"{name}_class"), F.col("case_id").alias(f"{name}_id")).distinct()
+        busy = lambda rows, key: heavy_keys(rows.groupBy(key).agg(F.count("*").alias("n")), [key], "n")
+        text = lambda evaluation, name: self.classes.where(F.col("evaluation") == evaluation).select(F.col("class_id").alias(f"{name}_class"), F.col("lines").alias(f"{name}_text")).dropDuplicates([f"{name}_class"])
+        met = split_join(split_join(pairs, member(False, "train"), busy(pairs, "train_id"), ["train_id"]), member(True, "eval"), busy(pairs, "eval_id"), ["eval_id"])
+        met = materialize(met.select("eval_id", "eval_class", "train_class").distinct(), "overlap-met")
+        texts = split_join(split_join(met, text(False, "train"), busy(met, "train_class"), ["train_class"]), text(True, "eval"), busy(met, "eval_class"), ["eval_class"])
+        kind = dict(self.rows.dtypes)["case_id"]
+        merged = texts.select("eval_id", "eval_class", "eval_text", "train_text").sortWithinPartitions("eval_class", "eval_id").mapInArrow(_intervals, f"eval_id {kind}, eval_class binary, start int, chars int, total int").groupBy("eval_id", "eval_class", "start", "chars").agg(F.max("total").alias("total"))
+        return merged.groupBy("eval_id", "eval_class").agg((F.sum("chars") / F.max("total")).alias("coverage")).groupBy("eval_id").agg(F.max("coverage").alias("coverage"))
+
+    def covered(self) -> DataFrame:
+        """eval_id, split, source, partners, coverage of every evaluation record that overlaps; coverage is null where no lines of it were compared."""
+        pairs = materialize(self.pairs(), "overlap-found")
+        other = self.rows.where("evaluation").select(F.col("case_id").alias("eval_id"), "split", "source").distinct()
+        return other.join(pairs.groupBy("eval_id").agg(F.count("*").alias("partners")), "eval_id").join(self.coverage(pairs), "eval_id", "left")
+
     def report(self) -> DataFrame:
         """Per split and source of the evaluation records: records, how many overlap, how many pairs, and the last two for each training source.
 
-        A record that overlaps with several training sources counts in each of them, so they may add up to more than ``overlapping``.
+        mean_coverage is the mean over the overlapping records of what all their partners together hold of their lines; records without compared lines are not in it. A record that overlaps with several training sources counts in each of them, so they may add up to more than ``overlapping``.
         """
         other = self.rows.where("evaluation").select(F.col("case_id").alias("eval_id"), "split", "source")
         pairs = materialize(self.pairs(), "overlap-found")
-        n = pairs.groupBy("eval_id").agg(F.count("*").alias("partners"))
-        whole = other.join(n, "eval_id", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"))
+        n = pairs.groupBy("eval_id").agg(F.count("*").alias("partners")).join(self.coverage(pairs), "eval_id", "left")
+        whole = other.join(n, "eval_id", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"), F.avg("coverage").alias("mean_coverage"))
         origin = self.rows.where("not evaluation").select(F.col("case_id").alias("train_id"), F.col("source").alias("train_source")).distinct()
         busy = heavy_keys(pairs.groupBy("train_id").agg(F.count("*").alias("n")), ["train_id"], "n")
         each = split_join(pairs, origin, busy, ["train_id"]).groupBy("eval_id", "train_source").agg(F.count("*").alias("partners"))

@@ -21,6 +21,11 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.SplitOverlap(table(spark, folder, "cases")).report()
 
 
+def p1_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """Held-out records that overlap, with the share of their lines that all their training records together hold."""
+    return overlap.SplitOverlap(table(spark, folder, "cases")).covered()
+
+
 def _mixture(spark: SparkSession, folder: str) -> mixing.Mixture:
     return mixing.Mixture(table(spark, folder, "items"), table(spark, folder, "sources"), table(spark, folder, "mix_targets"))
 
@@ -119,7 +124,7 @@ def p8_validation(spark: SparkSession, folder: str) -> DataFrame:
     return reading_level.validation(table(spark, folder, "documents"), table(spark, folder, "level_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_shares, p2_selection, p3_found, p3_budget, p3_late_rows, p4_found, p4_splits, p6_found, p6_containers, p7_found, p7_leaked_items, p8_found, p8_profile, p8_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_coverage, p2_found, p2_shares, p2_selection, p3_found, p3_budget, p3_late_rows, p4_found, p4_splits, p6_found, p6_containers, p7_found, p7_leaked_items, p8_found, p8_profile, p8_validation)}
 
 _PLAIN = "nullif(regexp_replace(lower(trim({0})), '[-_. ]', '-', 'g'), '')"
 _STEM = "nullif(regexp_replace(regexp_replace(trim(regexp_replace(lower(trim(stem)), '^.*[/\\\\]', '')), '\\.py$', ''), '^test_', ''), '')"

@@ -95,3 +95,24 @@ def test_report_names_training_sources(spark):
     got = SplitOverlap(spark.createDataFrame(rows, SCHEMA)).report().collect()
     assert {(r["split"], r["source"], x["train_source"]): (x["overlapping"], x["pairs"]) for r in got for x in r["train_sources"]} == wanted
     assert sum(r["pairs"] for r in got) == sum(x["pairs"] for r in got for x in r["train_sources"]) == len(pairs) and sum(r["overlapping"] for r in got) == len({e for _, e in pairs})
+
+
+def test_coverage_merges_all_partners(spark):
+    line = [f"{c} = {c * 9}" for c in "abcdef"]
+    text = lambda s: "\n".join(line["abcdef".index(c)] for c in s)
+    rows = [(1, "k", text("abcd"), None, "s", "val", ""), (2, None, text("abc"), None, "s", "train", ""), (3, None, text("bcd"), None, "s", "train", ""), (4, "m", text("abcdef"), None, "s", "test", ""), (5, "m", text("af"), None, "s", "train", ""), (6, "n", None, None, "s", "test", ""), (7, "n", text("f"), None, "s", "train", "")]
+    whole = SplitOverlap(spark.createDataFrame(rows, SCHEMA))
+    assert {r["eval_id"]: (r["partners"], r["coverage"]) for r in whole.covered().collect()} == {1: (2, 1.0), 4: (1, pytest.approx(1 / 3)), 6: (1, None)}
+    assert {r["split"]: r["mean_coverage"] for r in whole.report().collect()} == {"val": 1.0, "test": pytest.approx(1 / 3)}
+
+
+@pytest.mark.parametrize("seed", [7])
+def test_coverage_is_brute_force(spark, seed):
+    rows = records(80, seed, 0.4)
+    lines = {r[0]: plain_lines(r[2]) for r in rows}
+    wanted = {}
+    for t, e in brute(rows):
+        wanted.setdefault(e, []).append(t)
+    share = lambda e, ts: sum(len(x) for x in lines[e] if any(x in lines[t] for t in ts)) / sum(map(len, lines[e])) if lines[e] and any(lines[t] for t in ts) else None
+    got = {r["eval_id"]: r["coverage"] for r in SplitOverlap(spark.createDataFrame(rows, SCHEMA)).covered().collect()}
+    assert got == {e: share(e, ts) if share(e, ts) is None else pytest.approx(share(e, ts)) for e, ts in wanted.items()}
