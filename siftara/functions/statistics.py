@@ -67,6 +67,34 @@ def bootstrap_means(df: DataFrame, value: str, strata: str, key: str, *, replica
     return per.groupBy("replicate").agg(F.avg("_mean").alias("macro"))
 
 
+def paired_bootstrap(df: DataFrame, first: str, second: str, strata: str, *, replicates: int = 10_000, seed: str = "bootstrap") -> DataFrame:
+    """replicate, first and second: the means over the strata of two 0/1 outcomes on the same resampled rows.
+
+    A stratum of n rows is resampled by exactly n draws with replacement. Only how often each of the four pairs of outcomes is
+    drawn matters, so the rows are counted once and the counts are drawn: a multinomial variable per stratum, seeded by its key.
+    Rows with a null outcome or stratum are left out.
+    """
+    a, b = F.col(first) == 1, F.col(second) == 1
+    rows = df.where(F.col(first).isNotNull() & F.col(second).isNotNull() & F.col(strata).isNotNull())
+    counts = rows.groupBy(F.col(strata).cast("string").alias("stratum")).agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_a"), F.count_if(~a & b).alias("only_b"), F.count_if(~a & ~b).alias("neither"))
+
+    def draw(frames):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            for stratum, *cells in frame.itertuples(index=False, name=None):
+                n = sum(cells)
+                rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{stratum}".encode()).digest()[:8], "big"))
+                m = rng.multinomial(n, np.array(cells) / n, size=replicates)
+                yield pd.DataFrame({"replicate": range(replicates), "first": (m[:, 0] + m[:, 1]) / n, "second": (m[:, 0] + m[:, 2]) / n})
+
+    per = counts.mapInPandas(draw, "replicate int, first double, second double")
+    return per.groupBy("replicate").agg(F.avg("first").alias("first"), F.avg("second").alias("second"))
+
+
 def interval(replicates: DataFrame, value: str = "macro", level: float = 0.95) -> DataFrame:
     """low and high by linear interpolation between replicates."""
     tail = (1 - level) / 2

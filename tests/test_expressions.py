@@ -118,3 +118,31 @@ def test_permutation():
 def test_rank_percentile(spark):
     low, high = values(spark, [([4, 1, 3, 2],)], "v array<int>", S.rank_percentile(F.col("v"), 0.025, upper=False), S.rank_percentile(F.col("v"), 0.975, upper=True))[0]
     assert (low, high) == (1, 4)
+
+
+def test_paired_bootstrap_draws_whole_strata(spark):
+    rng = random.Random(4)
+    data = [(s, int(rng.random() < 0.6), int(rng.random() < 0.5)) for s, n in (("x", 300), ("y", 150)) for _ in range(n)]
+    df = spark.createDataFrame([*data, ("x", None, 1), (None, 1, 1)], "s string, a int, b int")
+    got = S.paired_bootstrap(df, "a", "b", "s").toPandas().sort_values("replicate")
+    assert got["replicate"].tolist() == list(range(10_000))
+    mean = lambda k: sum(sum(r[k] for r in data if r[0] == s) / n for s, n in (("x", 300), ("y", 150))) / 2
+    gap = [(s, n, [r[1] - r[2] for r in data if r[0] == s]) for s, n in (("x", 300), ("y", 150))]
+    sd = sum((sum(g * g for g in v) / n - (sum(v) / n) ** 2) / n / 4 for _, n, v in gap) ** 0.5
+    assert got["first"].mean() == pytest.approx(mean(1), abs=0.002) and got["second"].mean() == pytest.approx(mean(2), abs=0.002)
+    assert (got["first"] - got["second"]).std() == pytest.approx(sd, rel=0.05)
+    assert ((got["first"] * 600).round(6) % 1 == 0).all()  # whole hits of n drawn rows: means over 300 and 150
+    same = S.paired_bootstrap(df.repartition(5), "a", "b", "s").toPandas().sort_values("replicate")
+    assert same["first"].tolist() == pytest.approx(got["first"].tolist())
+    twice = S.paired_bootstrap(df, "a", "a", "s").toPandas()
+    assert (twice["first"] == twice["second"]).all()
+
+
+def test_bootstrap_query_has_the_replicates_of_the_reference(spark):
+    from siftara.plans import judging
+    from tests.oracle import DATA
+
+    if not DATA.exists():
+        pytest.skip("no test data here")
+    r = judging.bootstrap_ci(spark, str(DATA)).first()
+    assert r["replicates"] == 10_000 and r["low"] < r["high"] and r["low_b"] < r["high_b"] and r["low_difference"] < r["high_difference"]
