@@ -33,12 +33,12 @@ def scan_temperatures(df: DataFrame, logits: str, gold: str, grid: Sequence[floa
 
 
 def fit_temperature(df: DataFrame, logits: str, gold: str, groups: Sequence[str] = (), *, low: float = 0.5, high: float = 4.0, points: int = 33, rounds: int = 3) -> DataFrame:
-    """temperature and nll per group: a geometric grid, then ``rounds`` finer grids around the best point of each group."""
+    """temperature and nll per group: a geometric grid, then ``rounds`` finer grids around the best point of each group, never outside ``low`` to ``high``."""
     best = _best(scan_temperatures(df, logits, gold, D.geometric_grid(low, high, points), groups), groups)
     ratio = (high / low) ** (1 / (points - 1))
     for _ in range(rounds):
         ratio, steps = ratio ** (1 / 4), range(-4, 5)
-        around = F.array(*[F.col("best") * (ratio**k) for k in steps])
+        around = F.array_distinct(F.array(*[F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.col("best") * (ratio**k))) for k in steps]))
         rows = df.where(F.col(gold).isNotNull()).select(*groups, logits, gold)
         near = best.withColumnRenamed("temperature", "best").select(*groups, "best")
         joined = rows.join(F.broadcast(near), list(groups)) if groups else rows.crossJoin(F.broadcast(near))  # without groups ``near`` is one row

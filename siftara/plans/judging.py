@@ -88,6 +88,25 @@ def group_temperature_fallback(spark: SparkSession, folder: str) -> DataFrame:
     return calibration.with_fallback(best(["gold"]), best([]), 130).select("gold", "n", "own", "temperature")
 
 
+#: The reference's scan and the fewest rows of a group with its own temperature.
+_FULL_GRID = D.geometric_grid(0.5, 4.0, 33)
+_OWN_ROWS = 30
+
+
+@R.add(_SCAN.replace("unnest([0.5, 1.0, 2.0, 4.0]::double[]) as t", "unnest([0.5 * power(8.0, i / 32.0) for i in range(33)]::double[]) as t") + "select round(t, 6) as temperature, count(*) as n, round(avg(-ln(greatest(p, 1e-12))), 6) as nll from s where k = gold group by t")
+def temperature_scan_full(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of each of the 33 temperatures of the reference's scan."""
+    return calibration.scan_temperatures(_systems(spark, folder), "a", "gold", _FULL_GRID).select(F.round("temperature", 6).alias("temperature"), "n", F.round("nll", 6).alias("nll"))
+
+
+@R.add()
+def group_temperature_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """Fitted temperature of each group, and of all rows for groups of fewer than 30."""
+    s = _systems(spark, folder)
+    fits = [calibration.fit_temperature(s, "a", "gold", groups) for groups in (["gold"], [])]
+    return calibration.with_fallback(*fits, _OWN_ROWS).select("gold", "n", "own", "temperature")
+
+
 @R.add()
 def golden_section_fit(spark: SparkSession, folder: str) -> DataFrame:
     """Temperature of each group, refined between grid points."""
@@ -223,6 +242,20 @@ def gate_curve(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("threshold", F.round("macro", 6).alias("macro"), F.round("sent", 6).alias("sent"))
 
 
+#: The reference's thresholds: 0 is the first system alone, above 1 the second alone.
+_GATES = [0.0, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.99, 1.01]
+
+
+@R.add(f"""with {_P}, t as (select *, unnest({_GATES}::double[]) as threshold from tops),
+    g as (select threshold, gold, avg(case when (case when ca < threshold then top_b else top_a end) = gold then 1.0 else 0.0 end) as acc, count(*) filter (where ca < threshold) as sent, count(*) as n from t group by threshold, gold)
+    select threshold, round(avg(acc), 6) as macro, round(sum(sent) / sum(n), 6) as sent from g group by threshold""")
+def gate_curve_full(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy at each of the reference's ten thresholds when unsure rows go to the other system."""
+    s, gold = _systems(spark, folder), F.col("gold")
+    c = scoring.gate_curve(s, F.array_max("pa"), D.first_maximum(F.col("pa")) == gold, D.first_maximum(F.col("pb")) == gold, "gold", _GATES)
+    return c.select("threshold", F.round("macro", 6).alias("macro"), F.round("sent", 6).alias("sent"))
+
+
 @R.add("""with a as (select o_orderpriority as area, avg(o_totalprice) as m from orders group by 1), w(area, w) as (values ('1-URGENT', 3.0), ('2-HIGH', 2.0), ('3-MEDIUM', 1.0), ('no such', 5.0))
     select count(*) as areas, round(sum(w * m) / sum(w), 4) as index from a join w using (area)""")
 def weighted_index(spark: SparkSession, folder: str) -> DataFrame:

@@ -159,3 +159,29 @@ def test_dense_ranks(spark):
     v = [random.Random(4).randrange(100) for _ in range(300)]
     got = {r[0]: r[1] for r in dense_ranks(spark.createDataFrame([(x,) for x in v], "v long"), "v", "r").collect()}
     assert got == {x: i for i, x in enumerate(sorted(set(v)))}
+
+
+def test_full_fits_are_those_of_the_reference(spark, tmp_path):
+    from siftara.plans import judging
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        gold = 3 if i < 20 else 2 if i < 60 else i % 2  # groups of 20, 40 and 120
+        z = [rng.gauss(0, 1) + (2.0 / (1 + gold) if k == gold else 0) for k in range(8)]
+        rows.append((i, gold, [float(v) for v in z]))
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+
+    def best(own):
+        def loss(t):
+            return sum(math.log(sum(math.exp((x - max(z[:4])) / t) for x in z[:4])) - (z[g] - max(z[:4])) / t for _, g, z in own) / len(own)
+
+        return min((0.5 * 8 ** (i / 4000) for i in range(4001)), key=loss)
+
+    got = {r["gold"]: r for r in judging.group_temperature_fit(spark, str(tmp_path)).collect()}
+    assert {g: r["own"] for g, r in got.items()} == {0: True, 1: True, 2: True, 3: False}
+    for g, r in got.items():
+        assert 0.5 <= r["temperature"] <= 4 and r["temperature"] == pytest.approx(best(rows if g == 3 else [x for x in rows if x[1] == g]), rel=0.003)
+    assert judging.temperature_scan_full(spark, str(tmp_path)).count() == 33
+    gates = {r["threshold"]: r["sent"] for r in judging.gate_curve_full(spark, str(tmp_path)).collect()}
+    assert len(gates) == 10 and gates[0.0] == 0 and gates[1.01] == 1
