@@ -63,7 +63,7 @@ class Screen:
         The reference is broadcast when it is small, so the exploded corpus is never shuffled then.
         """
         rows = corpus.select(F.col(key), F.explode(self.units(F.col(text))).alias("u")).select(key, "u.*").where("unit <> ''")
-        return rows.join(broadcast_checked(kept.select("rule", "unit", "ref_id"), 2_000_000), ["rule", "unit"])
+        return rows.join(broadcast_checked(kept.select("rule", "unit", "ref_id")), ["rule", "unit"])
 
     def verdicts(self, corpus: DataFrame, key: str, text: str, kept: DataFrame) -> DataFrame:
         """key, reason, hits (units that matched by that rule), detail (their first line), ref_id, of every row that is rejected."""
@@ -85,4 +85,4 @@ def shared_windows(corpus: DataFrame, key: str, text: str, reference: DataFrame,
     """key, ref key and the number of different windows of n words that both whole texts hold."""
     left = corpus.select(key, F.explode(T.window_set(F.col(text), n)).alias("gram"))
     right = reference.select(F.col(ref_key).alias("ref_id"), F.explode(T.window_set(F.col(ref_text), n)).alias("gram"))
-    return left.join(broadcast_checked(right, 2_000_000), "gram").groupBy(key, "ref_id").agg(F.count("*").alias("shared"), F.slice(F.array_sort(F.collect_set("gram")), 1, 3).alias("examples"))
+    return left.join(broadcast_checked(right), "gram").groupBy(key, "ref_id").agg(F.count("*").alias("shared"), F.slice(F.array_sort(F.collect_set("gram")), 1, 3).alias("examples"))

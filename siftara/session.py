@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[8]", *, shuffle_partitions: int = 8, name: str = "siftara", **conf: str) -> SparkSession:
-    """A session with UTC stamps and adaptive execution; keyword conf uses ``__`` for ``.``."""
+    """A session with UTC stamps and adaptive execution; keyword conf uses ``__`` for ``.``.
+
+    A local master gets a temporary ``spark.checkpoint.dir`` unless ``conf`` names one; a cluster must name its shared folder itself.
+    """
+    settings = {key.replace("__", "."): value for key, value in conf.items()}
+    if master.startswith("local") and "spark.checkpoint.dir" not in settings:
+        settings["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="siftara-")
     builder = (
         SparkSession.builder.master(master)
         .appName(name)
@@ -18,6 +26,6 @@ def build_session(master: str = "local[8]", *, shuffle_partitions: int = 8, name
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
     )
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
+    for key, value in settings.items():
+        builder = builder.config(key, value)
     return builder.getOrCreate()

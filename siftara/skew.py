@@ -46,10 +46,20 @@ def salted_join(left: DataFrame, right: DataFrame, heavy: DataFrame, on: Sequenc
     return spread.join(repeated, [*on, "_salt"]).drop("_salt")
 
 
-#: Rows up to which a checked side is broadcast.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a checked side is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
-def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when a count that stops early finds at most ``rows`` rows, else as it is, to be shuffled."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).limit(rows + 1).collect()) <= rows else df
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes, its rows counted as JSON texts. At most ``rows`` + 1 rows are looked at, none leaves the executors."""
+    n, taken = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return n <= rows and taken <= size
+
+
+def broadcast_checked(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES, *, held: bool = False) -> DataFrame:
+    """``df`` marked for broadcast when it fits (``fits``), else as it is, to be shuffled. Unless ``held`` says that it is a written table, it is written first, so that its plan runs once."""
+    if not held:
+        from siftara.storage import materialize
+
+        df = materialize(df, "side")
+    return F.broadcast(df) if fits(df, rows, size) else df

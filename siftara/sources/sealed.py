@@ -11,6 +11,8 @@ import posixpath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftara.storage import child, file_system
+
 MANIFEST = "manifest.json"
 
 
@@ -18,14 +20,8 @@ class SealError(RuntimeError):
     """A sealed folder that is not what its manifest says, or that belongs to someone else."""
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     if not fs.exists(p):
         return None
     stream = fs.open(p)
@@ -37,8 +33,8 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write beside the place and rename, so that a reader sees the old file or the new one."""
-    fs, p = _fs(spark, path)
-    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + ".new")
+    fs, p = file_system(spark, path)
+    tmp = child(spark, p.getParent(), p.getName() + ".new")
     out = fs.create(tmp, True)
     out.write(bytearray(text.encode()))
     out.close()

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siftara.operators.redelivery import message_key
 from siftara.operators.runlog import last_record
+from siftara.storage import child, file_system
 
 
 def read_stream(spark: SparkSession, folder: str, schema: str, *, pattern: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
@@ -39,8 +40,8 @@ def keep_last(stream: DataFrame, path: str, keys: list[str], order: list[str], c
     spark = stream.sparkSession
 
     def fold(batch: DataFrame, number: int) -> None:
-        fs, base = _fs(spark, path)
-        done = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(base) if s.getPath().getName().startswith("v=") and fs.exists(_child(spark, s.getPath(), "_SUCCESS"))) if fs.exists(base) else []
+        fs, base = file_system(spark, path)
+        done = sorted(int(s.getPath().getName()[2:]) for s in fs.listStatus(base) if s.getPath().getName().startswith("v=") and fs.exists(child(spark, s.getPath(), "_SUCCESS"))) if fs.exists(base) else []
         before = [v for v in done if v < number]
         rows = batch.unionByName(spark.read.parquet(f"{path}/v={before[-1]}")) if before else batch
         last_record(rows, keys, order).write.mode("overwrite").parquet(f"{path}/v={number}")
@@ -50,15 +51,7 @@ def keep_last(stream: DataFrame, path: str, keys: list[str], order: list[str], c
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The newest whole version that ``keep_last`` wrote."""
-    fs, base = _fs(spark, path)
-    done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(base) if s.getPath().getName().startswith("v=") and fs.exists(_child(spark, s.getPath(), "_SUCCESS"))]
+    fs, base = file_system(spark, path)
+    done = [int(s.getPath().getName()[2:]) for s in fs.listStatus(base) if s.getPath().getName().startswith("v=") and fs.exists(child(spark, s.getPath(), "_SUCCESS"))]
     return spark.read.parquet(f"{path}/v={max(done)}")
 
-
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def _child(spark: SparkSession, parent, name: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(parent, name)

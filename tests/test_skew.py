@@ -1,4 +1,7 @@
-from siftara.skew import broadcast_checked, heavy_keys, salted_join, split_join
+import os
+
+from siftara.skew import broadcast_checked, fits, heavy_keys, salted_join, split_join
+from siftara.storage import discard, materialize
 
 
 def test_split_and_salted_joins_are_plain_joins(spark):
@@ -18,3 +21,16 @@ def test_split_and_salted_joins_are_plain_joins(spark):
 def test_broadcast_only_when_small(spark):
     plan = lambda d: spark.range(10).join(d, "id")._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" in plan(broadcast_checked(spark.range(5), 5)) and "broadcast" not in plan(broadcast_checked(spark.range(6), 5))
+
+
+def test_a_side_is_broadcast_by_rows_and_bytes(spark):
+    wide = spark.range(3).selectExpr("repeat('x', 1000) as t", "cast('y' as binary) as b", "array(1, 2) as c")
+    assert fits(wide, 3, 10_000) and not fits(wide, 3, 2_000) and not fits(wide, 2) and fits(wide.limit(0), 0)
+
+
+def test_tables_are_discarded(spark):
+    held = materialize(spark.range(5), "x")
+    assert held.count() == 5 and held.inputFiles()
+    other = held.inputFiles()[0].removeprefix("file://")
+    discard(held)
+    assert not os.path.exists(other)
