@@ -110,13 +110,13 @@ def _graded(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of level 4 or 5."""
-    return _graded(spark, folder, "doc_id").where(reading_level.demanding()).select("doc_id")
+    return _graded(spark, folder, "doc_id").where("demanding").select("doc_id")
 
 
 def p8_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Reading levels by topic, language and source, with all subtotals."""
     graded = _graded(spark, folder, "topic", "lang", "source").withColumn("lang", plain_lang(F.col("lang")))
-    return graded.cube("topic", "lang", "source").agg(F.grouping_id().alias("grouped"), F.count("*").alias("documents"), F.avg("grade").alias("mean_grade"), F.count_if(reading_level.demanding()).alias("demanding"))
+    return graded.cube("topic", "lang", "source").agg(F.grouping_id().alias("grouped"), F.count("*").alias("documents"), F.avg("grade").alias("mean_grade"), F.count_if("demanding").alias("demanding"))
 
 
 def p8_validation(spark: SparkSession, folder: str) -> DataFrame:

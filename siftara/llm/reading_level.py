@@ -6,12 +6,13 @@ documents; grades are calibrated on predictions that were made without the docum
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftara.llm.boosting import BoostedTrees, isotonic
@@ -24,9 +25,10 @@ LEAST_LABELS = 20
 #: Fewest rated documents that a small model of single splits, without calibration, is trained on; below it there are no grades.
 FEW_LABELS = 6
 FOLDS = 5
-LONG_SENTENCE, LONG_WORD, LONG_SHARE = 17, 10, 0.2
-#: Grade from which documents are checked for being of level 4 or 5; below the border of 3.5 by the noise of the ratings.
-DEMANDING = 3.0
+#: Words and letters from which the features count a sentence and a word as long.
+LONG_SENTENCE, LONG_WORD = 17, 10
+#: Rating from which a document is of level 4 or 5, and how far from it the border on grades may be put by the held-out grades.
+DEMANDING, BORDER_RANGE = 3.5, 0.5
 #: Words that join clauses in English, Portuguese and Spanish.
 JOINING = frozenset(
     "after although and because before but if often only since so that then though unless until when where whereas which while who antes apenas até ainda como depois e embora enquanto mas nunca onde pois porque quando que se sempre só também ahora aunque cuando donde hasta mientras pero porque pues que si siempre también y".split()
@@ -83,6 +85,7 @@ class LevelModel:
     """Trees with a calibration; ``held_out`` has source, rated level and the calibrated grade predicted without that source's fold.
 
     With fewer than LEAST_LABELS rows the model is ``small``: single splits, whose predictions are the grades, kept to 1 to 5.
+    ``border`` is the grade from which a document counts as of level 4 or 5.
     """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, sources: Sequence[str | None]):
@@ -95,6 +98,7 @@ class LevelModel:
                     out[folds == k] = _small_trees(int((folds != k).sum())).fit(x[folds != k], y[folds != k]).predict(x[folds == k])
             self.knots = np.array([1.0, 5.0]), np.array([1.0, 5.0])
             self.held_out = list(zip(sources, y.tolist(), np.interp(out, *self.knots).tolist()))
+            self.border = DEMANDING
             self.trees = _small_trees(len(y)).fit(x, y)
             return
         for k in range(FOLDS):
@@ -106,6 +110,7 @@ class LevelModel:
             if (folds == k).any():
                 grades[folds == k] = np.interp(out[folds == k], *(isotonic(out[others], y[others]) if others.any() else isotonic(out, y)))
         self.held_out = list(zip(sources, y.tolist(), grades.tolist()))
+        self.border = border(grades, y)
         self.knots = isotonic(out, y)
         self.trees = BoostedTrees().fit(x, y)
 
@@ -113,6 +118,14 @@ class LevelModel:
         return np.interp(self.trees.predict(x), *self.knots)
 
 
+def border(grades: np.ndarray, y: np.ndarray) -> float:
+    """The grade that parts held-out grades of ratings from DEMANDING on from the others: the one nearest to DEMANDING whose mistakes are within one standard error of the fewest."""
+    tried = DEMANDING + np.linspace(-BORDER_RANGE, BORDER_RANGE, 21)
+    wrong = ((grades[None, :] >= tried[:, None]) != (y >= DEMANDING)[None, :]).sum(axis=1)
+    good = tried[wrong <= wrong.min() + np.sqrt(wrong.min())]
+    return float(good[np.argmin(np.abs(good - DEMANDING))])
+
+
 def train(documents: DataFrame, labels: DataFrame) -> LevelModel | None:
     """A model from at most LABEL_ROWS rated documents; a small one where fewer than LEAST_LABELS have a rating, None where fewer than FEW_LABELS have.
 
@@ -123,6 +136,7 @@ def train(documents: DataFrame, labels: DataFrame) -> LevelModel | None:
     rows = documents.select("text", "source", "doc_id").join(F.broadcast(chosen), "doc_id").select("text", "source", "level")
     got = rows.mapInArrow(_feature_rows, "source string, level double, features array<double>").toPandas()
     if len(got) < FEW_LABELS:
+        warnings.warn(f"{len(got)} rated documents are too few for a model: no document gets a grade", stacklevel=2)
         return None
     got["at"] = [tuple(x) for x in got["features"]]
     got = got.sort_values(["level", "at"], kind="stable")  # the same model in whatever order the rows come
@@ -130,9 +144,9 @@ def train(documents: DataFrame, labels: DataFrame) -> LevelModel | None:
 
 
 def grade_documents(documents: DataFrame, model: LevelModel | None, *keep: str) -> DataFrame:
-    """The columns ``keep`` with grade (calibrated, 1 to 5), level (rounded), words_per_sentence, long_words and sure of every document.
+    """The columns ``keep`` with grade (calibrated, 1 to 5), level (rounded) and demanding (whether the grade reaches the model's border) of every document.
 
-    Without a model, or without prose, grade and level are null. ``sure`` says whether the model has LEAST_LABELS rated documents.
+    Without a model, or without prose, grade and level are null and demanding is false.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -142,22 +156,22 @@ def grade_documents(documents: DataFrame, model: LevelModel | None, *keep: str)
             x = np.array([features(t) for t in batch.column(0).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
             grades = own.grade(x) if own is not None and len(x) else np.full(len(x), np.nan)
             none = (x[:, 0] == 0) | np.isnan(grades)
-            columns = [*batch.columns[1:], pa.array(grades, pa.float64(), mask=none), pa.array(x[:, FEATURES.index("mean_sentence")]), pa.array(x[:, FEATURES.index("long_words")])]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "grade", "words_per_sentence", "long_words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(grades, pa.float64(), mask=none)], [*keep, "grade"])
 
     kinds = dict(documents.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "grade double, words_per_sentence double, long_words double"])
-    return documents.select("text", *[f"`{c}`" for c in keep]).mapInArrow(grade, schema).withColumn("level", F.round("grade").cast("int")).withColumn("sure", F.lit(model is not None and not model.small))
-
-
-def demanding() -> Column:
-    """Whether a graded document is of level 4 or 5: graded as such by the model and, checked exactly, with long sentences and many long words. Without a sure model the exact limits decide alone."""
-    return (~F.col("sure") | (F.col("grade") >= DEMANDING)) & (F.col("words_per_sentence") > LONG_SENTENCE) & (F.col("long_words") > LONG_SHARE)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "grade double"])
+    graded = documents.select("text", *[f"`{c}`" for c in keep]).mapInArrow(grade, schema)
+    reaches = F.col("grade") >= (model.border if model is not None else DEMANDING)
+    return graded.withColumn("level", F.round("grade").cast("int")).withColumn("demanding", F.coalesce(reaches, F.lit(False)))
 
 
 def validation(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per source: rated documents, mean absolute error and bias of held-out grades, and the share within one level."""
+    """Per source: rated documents, mean absolute error and bias of held-out grades, the share within one level, and how many are rated demanding, graded so, and both."""
     model = train(documents, labels)
     rows = documents.sparkSession.createDataFrame(model.held_out if model else [], "source string, rated double, grade double")
     error = F.col("grade") - F.col("rated")
-    return rows.groupBy("source").agg(F.count("*").alias("rated"), F.avg(F.abs(error)).alias("mean_error"), F.avg(error).alias("bias"), F.avg((F.abs(error) <= 1).cast("double")).alias("within_one"))
+    true, said = F.col("rated") >= DEMANDING, F.col("grade") >= (model.border if model else DEMANDING)
+    return rows.groupBy("source").agg(
+        F.count("*").alias("rated"), F.avg(F.abs(error)).alias("mean_error"), F.avg(error).alias("bias"), F.avg((F.abs(error) <= 1).cast("double")).alias("within_one"),
+        F.count_if(true).alias("rated_demanding"), F.count_if(said).alias("graded_demanding"), F.count_if(true & said).alias("both"),
+    )

@@ -51,7 +51,7 @@ def test_levels(spark):
     errors = [abs(r - g) for _, r, g in model.held_out]
     assert len(errors) == 120 and np.mean(errors) < 0.6
     graded = R.grade_documents(docs, model, "doc_id")
-    assert {r["doc_id"] for r in graded.where(R.demanding()).collect()} == {i for i in range(300) if i % 3 == 0}
+    assert {r["doc_id"] for r in graded.where("demanding").collect()} == {i for i in range(300) if i % 3 == 0}
     assert {r["doc_id"] for r in graded.where("grade is null").collect()} == {900, 901, 902}
     again = {r["doc_id"]: r["grade"] for r in R.grade_documents(docs.repartition(5), R.train(docs.repartition(3), labels.repartition(2)), "doc_id").collect()}
     assert again == pytest.approx({r["doc_id"]: r["grade"] for r in graded.collect()}, nan_ok=True)
@@ -66,14 +66,27 @@ def test_no_labels(spark):
     assert R.grade_documents(docs.limit(0), None, "doc_id").collect() == [] and R.validation(docs, labels.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("labelled", [0, 5, 7, 19])
+@pytest.mark.parametrize("labelled", [7, 19])
 def test_few_labels_lose_no_demanding_document(spark, labelled):
     docs, labels = frames(spark, labelled)
     model = R.train(docs, labels)
     graded = R.grade_documents(docs, model, "doc_id")
-    assert {r["doc_id"] for r in graded.where(R.demanding()).collect()} == {i for i in range(300) if i % 3 == 0}
-    assert (model is not None) == (labelled >= R.FEW_LABELS)
+    assert {r["doc_id"] for r in graded.where("demanding").collect()} == {i for i in range(300) if i % 3 == 0}
     grades = {r["doc_id"]: r["grade"] for r in graded.where("grade is not null").collect()}
-    if model is not None:
-        assert len(grades) == 300 and all(1 <= g <= 5 for g in grades.values()) and len(model.held_out) == labelled
-        assert np.mean([grades[i] for i in range(0, 300, 3)]) > np.mean([grades[i] for i in range(1, 300, 3)]) + 1
+    assert len(grades) == 300 and all(1 <= g <= 5 for g in grades.values()) and len(model.held_out) == labelled
+    assert np.mean([grades[i] for i in range(0, 300, 3)]) > np.mean([grades[i] for i in range(1, 300, 3)]) + 1
+
+
+def test_too_few_labels_are_said(spark):
+    docs, labels = frames(spark, 5)
+    with pytest.warns(UserWarning, match="5 rated documents"):
+        model = R.train(docs, labels)
+    assert model is None and R.grade_documents(docs, model, "doc_id").where("demanding").count() == 0
+
+
+def test_border_lies_where_held_out_grades_part():
+    rng = np.random.default_rng(3)
+    y = np.repeat([2.0, 5.0], 200)
+    grades = np.where(y > 3, rng.uniform(3.3, 5, 400), rng.uniform(1, 3.1, 400))
+    assert 3.1 <= R.border(grades, y) <= 3.31 and R.border(np.where(y > 3, 4.5, 1.5), y) == 3.5
+    assert R.border(np.array([2.0]), np.array([2.0])) == 3.5
