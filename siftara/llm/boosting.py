@@ -82,7 +82,11 @@ class BoostedTrees:
         fits = (count >= self.least_rows) & (rest >= self.least_rows)
         gain = np.where(fits, total**2 / np.maximum(count, 1) + (whole - total) ** 2 / np.maximum(rest, 1), -np.inf)
         j, b = np.unravel_index(np.argmax(gain), gain.shape)
-        return (int(j), int(b)) if gain[j, b] > residual.sum() ** 2 / n + 1e-9 else None
+        if gain[j, b] <= residual.sum() ** 2 / n + 1e-9:
+            return None
+        # where few rows leave room between the two sides, the middle of the room
+        tied = np.flatnonzero(gain[j] >= gain[j, b] * (1 - 1e-12))
+        return int(j), int(tied[(len(tied) - 1) // 2])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return self.base + self.rate * sum((t.predict(x) for t in self.trees), np.zeros(len(x)))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftara.llm.tokens import TOKENIZER, count_tokens
+from siftara.llm.tokens import MANY_LANGUAGES, count_tokens
 from siftara.storage import materialize
 
 CAPACITY = 2048
@@ -55,7 +55,7 @@ def pack_sizes(sizes: np.ndarray, capacity: int = CAPACITY, grain: int = GRAIN)
     return out
 
 
-def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", *, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, seed: str = "pack", grain: int = GRAIN) -> DataFrame:
+def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", *, capacity: int = CAPACITY, tokenizer: str = MANY_LANGUAGES, seed: str = "pack", grain: int = GRAIN) -> DataFrame:
     """One row for each piece of a document: ``key``, piece, container, first_token, tokens, document_tokens.
 
     A document larger than ``capacity`` is cut into full containers and a rest; any other is one piece. Documents

@@ -11,8 +11,10 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: The vocabulary for many languages: on texts that are not English, and on odd widths, the English one needs up to a fifth more tokens.
-TOKENIZER = os.path.join(os.environ.get("SIFTARA_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_multi_50k.tiktoken")
+FOLDER = os.environ.get("SIFTARA_TOKENIZERS", "/opt/tokenizers")
+TOKENIZER = f"{FOLDER}/byte_bpe_50k.tiktoken"
+#: For texts in several languages: on those, and on odd widths, the English vocabulary needs up to a fifth more tokens.
+MANY_LANGUAGES = f"{FOLDER}/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how this byte-level vocabulary cuts a text into words before merging.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
