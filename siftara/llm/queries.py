@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftara.llm import grouped_splits, leakage, mixing, overlap, packing, reading_level, token_budget
 from siftara.llm.names import plain_lang
+from siftara.llm.tokens import MANY_LANGUAGES
 from siftara.tables import table
 
 
@@ -79,12 +80,12 @@ def p4_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents larger than a container."""
-    return packing.oversize(packing.pack(table(spark, folder, "documents")))
+    return packing.oversize(packing.pack(table(spark, folder, "documents"), tokenizer=MANY_LANGUAGES))
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     """The container of every piece."""
-    return packing.pack(table(spark, folder, "documents"))
+    return packing.pack(table(spark, folder, "documents"), tokenizer=MANY_LANGUAGES)
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
