@@ -68,6 +68,33 @@ def test_alignment_counts():
     assert reach(words[:6] + ["x"] + words[7:13] + ["x"] + words[14:20] + ["x"] + words[21:27]) == 20
 
 
+def test_common_grams_are_left_out_where_an_item_can_do_without(monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(K, "COMMON", 3)
+    stock = text(rng, 14)
+    items = [(i, K.plain_words(" ".join(text(rng, 30) + stock + text(rng, 30)))) for i in range(12)] + [(99, K.plain_words(" ".join(stock * 2)))]
+    index = K.ItemIndex(items)
+    whole = K._stream(items[0][1])[1]
+    assert 1 <= index.least[0] < K.least_grams(whole) and (index.owner == 12).sum() == len(K._stream(items[12][1])[0]) - K.Q + 1
+    for k, words in items[:12]:
+        at = rng.randrange(len(words) - 20)
+        doc = K.plain_words(" ".join(text(rng, 30)) + " " + edit(rng, words[at : at + 20], 2) + " " + " ".join(text(rng, 30)))
+        assert (k, 1) in set(zip(*K._find(index, [1], [doc])[:2]))
+
+
+def test_many_short_documents_and_items_take_little_room():
+    import tracemalloc
+
+    rng = random.Random(6)
+    items = [(i, K.plain_words(" ".join(text(rng, 22)))) for i in range(2000)]
+    index = K.ItemIndex(items)
+    docs = [K.plain_words(" ".join(text(rng, 4))) for _ in range(12_000)]
+    tracemalloc.start()
+    K._find(index, list(range(len(docs))), docs)
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
 def test_blocks_and_long_texts(spark, monkeypatch):
     rng = random.Random(9)
     items = [(i, "First\n" + " ".join(text(rng, 40))) for i in range(6)]
