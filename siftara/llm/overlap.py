@@ -1,19 +1,20 @@
 """Records of evaluation splits that also stand, whole or reworked, in the training split.
 
-The lines of the evaluation records are the passages. Distinct passages are sharded by hash; each shard is one
-Aho-Corasick automaton, and the training lines of that shard are scanned with it as one text. A pair that meets in a
-passage is then measured: an automaton over all passages of the evaluation record scans the training record, and the
-matched intervals are merged into the covered part of the evaluation record.
-
-Only rare passages are searched for in the first scan: records that share 60 % of their lines share at least one of the
-first 40 % and one more, and k of the first 40 % and k more, in any fixed order of lines; an order by frequency keeps
-common helper lines out of it without losing a pair. Records with the same set of lines are one class until the end.
+The normalised lines of the evaluation records are the passages. They are sharded by hash; each shard is one Aho-Corasick
+automaton, and every automaton scans all training texts, each normalised and whole. A pair that meets often enough is then
+measured: an automaton over all lines of the evaluation record scans the training record, and the matched intervals are
+merged into the covered part of the evaluation record.
+
+Only rare lines are passages of the first scan: of a record of n lines of which m must be found again, the n - m + j rarest
+hold j of those m, so a pair that does not meet in j of them is none. Records with the same set of lines are one class
+and records that are alike in everything that counts are one kind until the end.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from hashlib import md5
 
@@ -27,17 +28,19 @@ from siftara.skew import broadcast_checked, heavy_keys, salted_join, split_join
 from siftara.storage import materialize
 
 SHARED = 0.6
-#: Rare lines in which a pair has to meet before it is measured.
+#: Rare lines in which a pair has to meet before it is measured, where the record has so many.
 MEET = 3
 SEARCH_LINES = 3
-#: Passages in one automaton.
-SHARD_PASSAGES = 20_000
-#: Lines that make up more than this share of all lines are ordered last; at most 1 / COMMON_SHARE of them.
-COMMON_SHARE = 0.0001
-#: Paired classes (of 16 bytes each) up to which their list is broadcast to thin out the lines before they are shuffled.
+#: Characters of passages in one automaton; it takes about 20 bytes for each.
+SHARD_CHARS = 4_000_000
+#: Automata that all training texts are scanned with. With more passages than they hold, the lines of the training texts are joined to the passages instead: the pairs are the same, and the work no longer grows with the product of both sides.
+MOST_SHARDS = 8
+#: Characters of training lines that one task scans at least: an automaton is built once for them.
+TASK_CHARS = 16_000_000
+#: Evaluation records that a line may be a passage of beside those that it must be for.
+COMMON = 100
+#: Classes (of 16 bytes each) up to which their list is broadcast to thin out the lines before they are shuffled.
 BROADCAST_CLASSES = 500_000
-#: Parts that the training rows of a common line are spread over.
-SPREAD = 16
 
 
 _DOCSTRING = re.compile(r"(?m)^[ \t]*[rubf]{0,2}(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')")
@@ -73,89 +76,77 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[2:], "lost", "search_key", "class_id", "lines"])
 
 
-def least_shared(n: np.ndarray) -> np.ndarray:
+def least_shared(n: int) -> int:
     """Lines of a record of ``n`` lines that are in both when at least SHARED of the lines of either record are."""
-    return np.ceil(SHARED * n - 1e-9).astype(np.int64)
+    return math.ceil(SHARED * n - 1e-9)
 
 
-def _rare_lines(classes: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
-    """class_id, evaluation, n, line, mark, common: the first lines of each class in the order of frequency, then hash.
+def _rare_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """class_id, n, need, line: the rarest lines of each evaluation class, and in how many of them a pair has to meet.
 
-    Two records that share m lines share at least MEET of the first n - m + MEET lines of each.
+    Lines come with the number of evaluation classes that hold them. Where the n - m + 1 lines that must be there are followed
+    by lines of more than COMMON classes, those stay out and fewer meetings are asked for.
     """
-    known = np.array(sorted(common), dtype=np.int64).reshape(-1, 2)
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines, marks = batch.column(2), batch.column(3).flatten().to_numpy()
-            n = np.diff(lines.offsets.to_numpy())
-            row = np.repeat(np.arange(len(n)), n)
-            often = np.zeros(len(marks), dtype=np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known[:, 0], marks), len(known) - 1)
-                often = np.where(known[at, 0] == marks, known[at, 1], 0)
-            order = np.lexsort((marks, often, row))
-            place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)
-            share = least_shared(n)
-            first = order[place < np.repeat(n - share + np.minimum(MEET, share), n)]
-            owner = pa.array(row[first])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), pa.array(n[row[first]], pa.int32()), lines.flatten().take(pa.array(first)), pa.array(marks[first]), pa.array(often[first] > 0)], ["class_id", "evaluation", "n", "line", "mark", "common"])
-
-    hashed = classes.select("class_id", "evaluation", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("hashes"))
-    return hashed.mapInArrow(choose, "class_id binary, evaluation boolean, n int, line string, mark long, common boolean")
-
-
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard with its passages first: build the automaton of a shard, then scan its training lines."""
-    shard, automaton, passages = None, None, {}
     for batch in batches:
-        shards = batch.column(0).to_numpy()
-        train = batch.column(1).to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(train.astype(np.int8)) != 0)) + 1
-        found: list[pa.RecordBatch] = []
-        for a, b in zip([0, *cuts], [*cuts, len(shards)]):
-            if a == b:
-                continue
-            if shards[a] != shard:
-                shard, automaton, passages = shards[a], None, {}
-            part = batch.slice(a, b - a)
-            lines = part.column(2).to_pylist()
-            if not train[a]:
-                passages.update(zip(lines, part.column(3).to_pylist()))
-                continue
-            if automaton is None:
-                automaton = ahocorasick.Automaton()
-                for line, mark in passages.items():
-                    automaton.add_word(f"\n{line}\n", (mark, len(line)))
-                if passages:
-                    automaton.make_automaton()
-            if not passages:
-                continue
-            text = "\n" + "\n".join(lines) + "\n"
-            starts = np.cumsum([1, *(len(x) + 1 for x in lines)])
-            hits = [(end - size, mark) for end, (mark, size) in automaton.iter(text)]
-            if hits:
-                at, marks = (np.array(x, dtype=np.int64) for x in zip(*hits))
-                rows = np.searchsorted(starts, at)
-                found.append(pa.RecordBatch.from_arrays([part.column(4).take(pa.array(rows)), part.column(5).take(pa.array(rows)), pa.array(marks)], ["class_id", "n", "mark"]))
-        yield from found
+        rows, sizes, needs, chosen = [], [], [], []
+        for k, own in enumerate(batch.column(1).to_pylist()):
+            own.sort(key=lambda x: (x["often"], x["line"]))
+            n, m = len(own), least_shared(len(own))
+            need = max((j for j in range(2, min(MEET, m) + 1) if own[n - m + j - 1]["often"] <= COMMON), default=1)
+            first = own[: n - m + need]
+            rows += [k] * len(first)
+            sizes += [n] * len(first)
+            needs += [need] * len(first)
+            chosen += [x["line"] for x in first]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.array(needs, pa.int32()), pa.array(chosen, pa.string())], ["eval_class", "eval_n", "need", "line"])
+
+
+def automaton_of(passages: Iterable[tuple[str, object]]) -> ahocorasick.Automaton:
+    """Finds whole lines in a text that begins and ends with a line end."""
+    automaton = ahocorasick.Automaton()
+    for line, value in passages:
+        automaton.add_word(f"\n{line}\n", value)
+    if len(automaton):
+        automaton.make_automaton()
+    return automaton
+
+
+def _scan(texts: DataFrame, passages: list[tuple[str, int]]) -> DataFrame:
+    """train_class, train_n, mark: where the passages of one shard stand in the whole training texts."""
+    shared = texts.sparkSession.sparkContext.broadcast(passages)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = automaton_of(shared.value)
+        for batch in batches:
+            lists = batch.column(1)
+            rows, marks = [], []
+            for k, lines in enumerate(lists.to_pylist()):
+                for _, mark in automaton.iter("\n" + "\n".join(lines) + "\n"):
+                    rows.append(k)
+                    marks.append(mark)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), lists.value_lengths().take(at), pa.array(marks, pa.int64())], ["train_class", "train_n", "mark"])
+
+    return texts.mapInArrow(scan, "train_class binary, train_n int, mark long")
+
+
+def _placed(lines: list[str]) -> list[tuple[str, tuple[int, int]]]:
+    """The lines of a record with the interval of characters that each takes up in it."""
+    ends = np.cumsum([len(x) for x in lines]).tolist()
+    return [(line, (end - len(line), end)) for line, end in zip(lines, ends)]
 
 
 def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the intervals of the evaluation record that the training record holds; rows of one evaluation record come together."""
-    last, automaton, total = None, None, 0
+    last, automaton, total, own = None, None, 0, []
     for batch in batches:
         eval_id, train_id, eval_lines, train_lines = (batch.column(i) for i in range(4))
         ids = eval_id.to_pylist()
-        covered, shared, sizes = [], [], []
+        covered, shared, own_sizes, sizes = [], [], [], []
         for k, e in enumerate(ids):
             if e != last:
-                automaton, at = ahocorasick.Automaton(), 0
-                for line in eval_lines[k].as_py():
-                    automaton.add_word(f"\n{line}\n", (at, at + len(line)))
-                    at += len(line)
-                automaton.make_automaton()
-                last, total = e, at
+                own = _placed(eval_lines[k].as_py())
+                automaton, last, total = automaton_of(own), e, own[-1][1][1]
             lines = train_lines[k].as_py()
             intervals = sorted({x for _, x in automaton.iter("\n" + "\n".join(lines) + "\n")})
             end = chars = 0
@@ -164,8 +155,9 @@ def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end = max(end, b)
             covered.append(chars / total)
             shared.append(len(intervals))
+            own_sizes.append(len(own))
             sizes.append(len(lines))
-        yield pa.RecordBatch.from_arrays([eval_id, train_id, pa.array(covered, pa.float64()), pa.array(shared, pa.int32()), pa.array(sizes, pa.int32())], ["eval_class", "train_class", "coverage", "shared", "train_lines"])
+        yield pa.RecordBatch.from_arrays([eval_id, train_id, pa.array(covered, pa.float64()), pa.array(shared, pa.int32()), pa.array(own_sizes, pa.int32()), pa.array(sizes, pa.int32())], ["eval_class", "train_class", "coverage", "shared", "eval_lines", "train_lines"])
 
 
 def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +172,8 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (e, c) in enumerate(zip(eval_id.to_pylist(), eval_class.to_pylist())):
             if (e, c) != last:
                 if last is None or c != last[1]:
-                    automaton, total = ahocorasick.Automaton(), 0
-                    for line in eval_lines[k].as_py():
-                        automaton.add_word(f"\n{line}\n", (total, total + len(line)))
-                        total += len(line)
-                    automaton.make_automaton()
+                    own = _placed(eval_lines[k].as_py())
+                    automaton, total = automaton_of(own), own[-1][1][1]
                 last, seen = (e, c), {(0, 0)}
                 found = [(0, 0)]
             else:
@@ -196,7 +185,7 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chars += [b - a for a, b in found]
             totals += [total] * len(found)
         at = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([eval_id.take(at), eval_class.take(at), pa.array(starts, pa.int32()), pa.array(chars, pa.int32()), pa.array(totals, pa.int32())], ["eval_id", "eval_class", "start", "chars", "total"])
+        yield pa.RecordBatch.from_arrays([eval_id.take(at), eval_class.take(at), pa.array(starts, pa.int32()), pa.array(chars, pa.int32()), pa.array(totals, pa.int32())], ["eval_kind", "eval_class", "start", "chars", "total"])
 
 
 class SplitOverlap:
@@ -209,106 +198,146 @@ class SplitOverlap:
     own and give the pair once.
     """
 
+    SIGNS = ("case_key", "source", "split", "evaluation", "lost", "search_key", "class_id")
+
     def __init__(self, cases: DataFrame, *, train: str = "train"):
         kinds = dict(cases.dtypes)
         rows = cases.where("split is not null").select("original", "search", "case_id", "case_key", "source", "split", (F.col("split") != train).alias("evaluation"))
         schema = f"case_id {kinds['case_id']}, case_key {kinds['case_key']}, source {kinds['source']}, split string, evaluation boolean, lost boolean, search_key binary, class_id binary, lines array<string>"
-        self.rows = materialize(rows.mapInArrow(_normalise, schema), "overlap-rows")
-        self.members = self.rows.where("class_id is not null").select("class_id", "evaluation", "case_id")
-        self.counts = materialize(self.members.groupBy("class_id", "evaluation").agg(F.count("*").alias("n"), F.min("case_id").alias("first")), "overlap-classes")
+        kind = F.unhex(F.md5(F.to_json(F.struct(*self.SIGNS))))
+        self.rows = materialize(rows.mapInArrow(_normalise, schema).withColumn("kind", kind), "overlap-rows")
+        #: one row for each kind of record: what it is compared by, and how many records are of it
+        signs = self.rows.groupBy("kind").agg(*[F.first(c).alias(c) for c in self.SIGNS], F.count("*").alias("n"))
+        self.kinds = materialize(signs, "overlap-kinds")
+        held = self.rows.where("class_id is not null").groupBy("class_id", "evaluation").agg(F.count("*").alias("n"), F.min("case_id").alias("first"))
+        held = materialize(held, "overlap-classes")
         # the first record stands for its class; the list of the others is broadcast while it is small
-        others = self.members.join(self.counts.where("n > 1").select("class_id", "evaluation", "first"), ["class_id", "evaluation"]).where("case_id > first").select("case_id")
         lines = self.rows.where("class_id is not null").select("case_id", "class_id", "evaluation", "lines")
-        self.classes = lines.join(broadcast_checked(materialize(others, "overlap-copies"), BROADCAST_CLASSES), "case_id", "left_anti").drop("case_id")
+        twice = held.where("n > 1").select("class_id", "evaluation", "first")
+        others = lines.drop("lines").join(broadcast_checked(twice, BROADCAST_CLASSES), ["class_id", "evaluation"]).where("case_id > first").select("case_id")
+        alone = lines.join(broadcast_checked(others, BROADCAST_CLASSES), "case_id", "left_anti").drop("case_id")
+        #: lines by class; rows that repeat a case_id can repeat their class here
+        self.classes = {e: materialize(alone.where(F.col("evaluation") == e).select(F.col("class_id").alias(f"{name}_class"), F.col("lines").alias(f"{name}_text")), f"overlap-{name}") for e, name in ((False, "train"), (True, "eval"))}
+
+    def passages(self) -> DataFrame:
+        """eval_class, eval_n, need, line and mark of the rare lines of the evaluation classes."""
+        lines = self.classes[True].dropDuplicates(["eval_class"]).select("eval_class", F.explode("eval_text").alias("line"))
+        marked = lines.withColumn("mark", F.xxhash64("line"))
+        often = marked.groupBy("mark").agg(F.count("*").alias("often")).where("often > 1")
+        often = materialize(often, "overlap-often")
+        heavy = heavy_keys(often, ["mark"], "often")
+        counted = split_join(marked, often, heavy, ["mark"], "left").groupBy("eval_class").agg(F.collect_list(F.struct("line", F.coalesce("often", F.lit(1)).alias("often"))).alias("own"))  # as long as one record
+        return counted.mapInArrow(_rare_lines, "eval_class binary, eval_n int, need int, line string").withColumn("mark", F.xxhash64("line"))
+
+    def hits(self, passages: DataFrame) -> DataFrame:
+        """train_class, train_n, mark: every passage in every training class."""
+        train = self.classes[False]
+        distinct = materialize(passages.select("mark", "line").dropDuplicates(["mark"]), "overlap-passages")
+        total = distinct.agg(F.sum(F.length("line"))).first()[0] or 0
+        shards = -(-total // SHARD_CHARS)
+        if shards > MOST_SHARDS:
+            marks = train.select("train_class", F.size("train_text").alias("train_n"), F.explode(F.transform("train_text", lambda x: F.xxhash64(x))).alias("mark"))
+            return marks.join(distinct.select("mark"), "mark", "left_semi").select("train_class", "train_n", "mark")
+        chars = train.agg(F.sum(F.aggregate("train_text", F.lit(0).cast("long"), lambda a, x: a + F.length(x)))).first()[0] or 0
+        scans = []
+        for shard in range(shards):
+            held = [(r["line"], r["mark"]) for r in distinct.where(F.pmod("mark", F.lit(shards)) == shard).select("line", "mark").collect()]  # at most about SHARD_CHARS
+            cores = train.sparkSession.sparkContext.defaultParallelism
+            scans.append(_scan(train.coalesce(max(-(-cores // shards), -(-chars // TASK_CHARS))), held))
+        return reduce(DataFrame.unionByName, scans) if scans else self.classes[False].select("train_class", F.size("train_text").alias("train_n"), F.lit(0).cast("long").alias("mark")).limit(0)
 
     def class_pairs(self) -> DataFrame:
         """eval_class, train_class, coverage of the evaluation record: one row for each pair of different line sets, and of equal ones, that overlap."""
-        spark = self.rows.sparkSession
-        marks = self.classes.select(F.explode(F.transform("lines", lambda x: F.xxhash64(x))).alias("mark")).groupBy("mark").count()
-        total = self.classes.agg(F.sum(F.size("lines"))).first()[0] or 0
-        common = [(r["mark"], r["count"]) for r in marks.where(F.col("count") > max(1.0, total * COMMON_SHARE)).collect()]
-        rare = materialize(_rare_lines(self.classes, common), "overlap-rare")
-        passages = rare.where("evaluation").select("mark", "line", "common").dropDuplicates(["mark", "line"])
-        shards = max(spark.sparkContext.defaultParallelism, -(-passages.count() // SHARD_PASSAGES))
-        shard = F.pmod("mark", F.lit(shards))
-        spread = F.explode(F.when(F.col("common"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0))))
-        wanted = passages.withColumn("part", spread).select((shard + F.col("part") * shards).alias("shard"), F.lit(False).alias("train"), "line", "mark", F.lit(None).cast("binary").alias("class_id"), F.lit(None).cast("int").alias("n"))
-        salt = F.when(F.col("common"), F.pmod(F.xxhash64("class_id"), F.lit(SPREAD))).otherwise(0)
-        texts = rare.where("not evaluation").select((shard + salt * shards).alias("shard"), F.lit(True).alias("train"), "line", "mark", "class_id", "n")
-        hits = wanted.unionByName(texts).repartition("shard").sortWithinPartitions("shard", "train").mapInArrow(_scan, "class_id binary, n int, mark long")
-        hits = hits.select("mark", F.col("class_id").alias("train_class"), F.col("n").alias("train_n"))
-        postings = rare.where("evaluation").select("mark", F.col("class_id").alias("eval_class"), F.col("n").alias("eval_n"))
+        rare = materialize(self.passages(), "overlap-rare")
+        hits = self.hits(rare)
+        postings = rare.select("mark", "eval_class", "eval_n", "need")
         often = heavy_keys(postings.groupBy("mark").agg(F.count("*").alias("n")), ["mark"], "n")
         met = salted_join(hits, postings, often, ["mark"]).where(F.least("train_n", "eval_n") >= F.greatest("train_n", "eval_n") * SHARED)
-        need = F.least(F.lit(MEET), F.ceil(F.min(F.least("train_n", "eval_n")) * SHARED - 1e-9))
-        pairs = materialize(met.groupBy("eval_class", "train_class").agg(F.count("*").alias("met"), need.alias("need")).where("met >= need").select("eval_class", "train_class"), "overlap-pairs")
+        # a repeated training row repeats its hits, so that places are counted once
+        pairs = met.groupBy("eval_class", "train_class").agg(F.count_distinct("mark").alias("met"), F.max("need").alias("need")).where("met >= need").select("eval_class", "train_class")
+        pairs = materialize(pairs, "overlap-pairs")
         busy = [materialize(heavy_keys(pairs.groupBy(c).agg(F.count("*").alias("n")), [c], "n"), "overlap-busy") for c in ("eval_class", "train_class")]
 
         def side(evaluation: bool, name: str) -> DataFrame:
             """Lines of the classes that are in a pair; the others leave before the shuffle where the list of the paired ones is small."""
-            lines = self.classes.where(F.col("evaluation") == evaluation).select(F.col("class_id").alias(f"{name}_class"), F.col("lines").alias(f"{name}_text"))
-            paired = pairs.select(f"{name}_class").distinct()
-            return lines.join(broadcast_checked(paired, BROADCAST_CLASSES), f"{name}_class", "left_semi")
+            return self.classes[evaluation].join(broadcast_checked(pairs.select(f"{name}_class").distinct(), BROADCAST_CLASSES), f"{name}_class", "left_semi").dropDuplicates([f"{name}_class"])
 
         texts = split_join(split_join(pairs, side(False, "train"), busy[1], ["train_class"]), side(True, "eval"), busy[0], ["eval_class"])
-        covered = texts.sortWithinPartitions("eval_class").select("eval_class", "train_class", "eval_text", "train_text").mapInArrow(_cover, "eval_class binary, train_class binary, coverage double, shared int, train_lines int")
-        sizes = self.classes.where("evaluation").select(F.col("class_id").alias("eval_class"), F.size("lines").alias("eval_lines"))
-        joined = covered.join(sizes, "eval_class")
-        return joined.where(F.col("shared") >= SHARED * (F.col("eval_lines") + F.col("train_lines") - F.col("shared"))).select("eval_class", "train_class", "coverage")
+        covered = texts.sortWithinPartitions("eval_class").select("eval_class", "train_class", "eval_text", "train_text").mapInArrow(_cover, "eval_class binary, train_class binary, coverage double, shared int, eval_lines int, train_lines int")
+        return materialize(covered.where(F.col("shared") >= SHARED * (F.col("eval_lines") + F.col("train_lines") - F.col("shared"))).select("eval_class", "train_class", "coverage"), "overlap-class-pairs")
 
     def _equal(self, column: str, left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of a training and an evaluation record with the same value in ``column``."""
-        n = self.rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+        """Pairs of a training and an evaluation kind with the same value in ``column``."""
+        n = self.kinds.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
         heavy = heavy_keys(n, [column], "n")
-        return salted_join(left.where(F.col(column).isNotNull()).select(column, F.col("case_id").alias("train_id")), right.where(F.col(column).isNotNull()).select(column, F.col("case_id").alias("eval_id")), heavy, [column]).select("train_id", "eval_id")
+        return salted_join(left.where(F.col(column).isNotNull()).select(column, F.col("kind").alias("train_kind")), right.where(F.col(column).isNotNull()).select(column, F.col("kind").alias("eval_kind")), heavy, [column]).select("train_kind", "eval_kind")
 
-    def pairs(self) -> DataFrame:
-        """train_id, eval_id of every overlapping pair of records, each once."""
-        train, other = self.rows.where("not evaluation"), self.rows.where("evaluation")
+    def kind_pairs(self) -> DataFrame:
+        """train_kind, eval_kind of every overlapping pair of kinds, each once."""
+        train, other = self.kinds.where("not evaluation"), self.kinds.where("evaluation")
         by_key = self._equal("case_key", train, other)
         by_search = [self._equal("search_key", train.where("lost"), other), self._equal("search_key", train.where("not lost"), other.where("lost"))]
         classes = self.class_pairs()
-        heavy = heavy_keys(self.counts, ["class_id"], "n")
-        member = lambda evaluation, name: self.members.where(F.col("evaluation") == evaluation).select(F.col("class_id").alias(f"{name}_class"), F.col("case_id").alias(f"{name}_id"))
-        hot = lambda name: heavy.select(F.col("class_id").alias(f"{name}_class"))
-        by_lines = salted_join(member(False, "train"), classes, hot("train"), ["train_class"])
-        by_lines = salted_join(member(True, "eval"), by_lines, hot("eval"), ["eval_class"]).select("train_id", "eval_id")
-        return reduce(DataFrame.unionByName, [by_key, *by_search, by_lines]).distinct()
+        busy = heavy_keys(self.kinds.where("class_id is not null").groupBy("class_id").agg(F.count("*").alias("n")), ["class_id"], "n")
+        member = lambda rows, name: rows.where("class_id is not null").select(F.col("class_id").alias(f"{name}_class"), F.col("kind").alias(f"{name}_kind"))
+        hot = lambda name: busy.select(F.col("class_id").alias(f"{name}_class"))
+        by_lines = salted_join(member(train, "train"), classes.drop("coverage"), hot("train"), ["train_class"])
+        by_lines = salted_join(member(other, "eval"), by_lines, hot("eval"), ["eval_class"]).select("train_kind", "eval_kind")
+        return materialize(reduce(DataFrame.unionByName, [by_key, *by_search, by_lines]).distinct(), "overlap-kind-pairs")
+
+    def pairs(self) -> DataFrame:
+        """train_id, eval_id of every overlapping pair of records, each once."""
+        found = self.kind_pairs()
+        heavy = heavy_keys(self.kinds, ["kind"], "n")
+        member = lambda evaluation, name: self.rows.where(F.col("evaluation") == evaluation).select(F.col("kind").alias(f"{name}_kind"), F.col("case_id").alias(f"{name}_id"))
+        hot = lambda name: heavy.select(F.col("kind").alias(f"{name}_kind"))
+        both = salted_join(member(False, "train"), found, hot("train"), ["train_kind"])
+        return salted_join(member(True, "eval"), both, hot("eval"), ["eval_kind"]).select("train_id", "eval_id").distinct()
 
-    def coverage(self, pairs: DataFrame) -> DataFrame:
-        """eval_id, coverage: the share of the line characters of an evaluation record that its partners in ``pairs`` hold, all of them together.
+    def coverage(self, found: DataFrame) -> DataFrame:
+        """eval_kind, coverage: the share of the line characters of an evaluation record that its partners in ``found`` hold, all of them together.
 
-        Records without lines, and records whose partners all have none, have no row. Of repeated rows with the same case_id the greatest share counts.
+        Kinds without lines, and kinds whose partners all have none, have no row.
         """
-        member = lambda evaluation, name: self.members.where(F.col("evaluation") == evaluation).select(F.col("class_id").alias(f"{name}_class"), F.col("case_id").alias(f"{name}_id")).distinct()
         busy = lambda rows, key: heavy_keys(rows.groupBy(key).agg(F.count("*").alias("n")), [key], "n")
-        text = lambda evaluation, name: self.classes.where(F.col("evaluation") == evaluation).select(F.col("class_id").alias(f"{name}_class"), F.col("lines").alias(f"{name}_text")).dropDuplicates([f"{name}_class"])
-        met = split_join(split_join(pairs, member(False, "train"), busy(pairs, "train_id"), ["train_id"]), member(True, "eval"), busy(pairs, "eval_id"), ["eval_id"])
-        met = materialize(met.select("eval_id", "eval_class", "train_class").distinct(), "overlap-met")
+        own = lambda name: self.kinds.where("class_id is not null").select(F.col("kind").alias(f"{name}_kind"), F.col("class_id").alias(f"{name}_class"))
+        text = lambda evaluation, name: self.classes[evaluation].dropDuplicates([f"{name}_class"])
+        met = split_join(split_join(found, own("train"), busy(found, "train_kind"), ["train_kind"]), own("eval"), busy(found, "eval_kind"), ["eval_kind"])
+        met = materialize(met.select("eval_kind", "eval_class", "train_class").distinct(), "overlap-met")
         texts = split_join(split_join(met, text(False, "train"), busy(met, "train_class"), ["train_class"]), text(True, "eval"), busy(met, "eval_class"), ["eval_class"])
-        kind = dict(self.rows.dtypes)["case_id"]
-        merged = texts.select("eval_id", "eval_class", "eval_text", "train_text").sortWithinPartitions("eval_class", "eval_id").mapInArrow(_intervals, f"eval_id {kind}, eval_class binary, start int, chars int, total int").groupBy("eval_id", "eval_class", "start", "chars").agg(F.max("total").alias("total"))
-        return merged.groupBy("eval_id", "eval_class").agg((F.sum("chars") / F.max("total")).alias("coverage")).groupBy("eval_id").agg(F.max("coverage").alias("coverage"))
+        intervals = texts.select("eval_kind", "eval_class", "eval_text", "train_text").sortWithinPartitions("eval_class", "eval_kind").mapInArrow(_intervals, "eval_kind binary, eval_class binary, start int, chars int, total int")
+        merged = intervals.groupBy("eval_kind", "start", "chars").agg(F.max("total").alias("total"))
+        return merged.groupBy("eval_kind").agg((F.sum("chars") / F.max("total")).alias("coverage"))
+
+    def _partners(self, found: DataFrame) -> DataFrame:
+        """train_kind, eval_kind, train_source and n, the number of training records that are a partner."""
+        busy = heavy_keys(found.groupBy("train_kind").agg(F.count("*").alias("k")), ["train_kind"], "k")
+        origin = self.kinds.where("not evaluation").select(F.col("kind").alias("train_kind"), F.col("source").alias("train_source"), "n")
+        return split_join(found, origin, busy, ["train_kind"])
 
     def covered(self) -> DataFrame:
-        """eval_id, split, source, partners, coverage of every evaluation record that overlaps; coverage is null where no lines of it were compared."""
-        pairs = materialize(self.pairs(), "overlap-found")
-        other = self.rows.where("evaluation").select(F.col("case_id").alias("eval_id"), "split", "source").distinct()
-        return other.join(pairs.groupBy("eval_id").agg(F.count("*").alias("partners")), "eval_id").join(self.coverage(pairs), "eval_id", "left")
+        """eval_id, split, source, partners, coverage of every evaluation record that overlaps; coverage is null where no lines of it were compared. Partners are rows of the training split."""
+        found = self.kind_pairs()
+        n = self._partners(found).groupBy("eval_kind").agg(F.sum("n").alias("partners")).join(self.coverage(found), "eval_kind", "left")
+        other = self.rows.where("evaluation").select(F.col("kind").alias("eval_kind"), F.col("case_id").alias("eval_id"), "split", "source")
+        return split_join(other, n, heavy_keys(self.kinds, ["kind"], "n").withColumnRenamed("kind", "eval_kind"), ["eval_kind"]).drop("eval_kind")
 
     def report(self) -> DataFrame:
         """Per split and source of the evaluation records: records, how many overlap, how many pairs, and the last two for each training source.
 
-        mean_coverage is the mean over the overlapping records of what all their partners together hold of their lines; records without compared lines are not in it. A record that overlaps with several training sources counts in each of them, so they may add up to more than ``overlapping``.
+        Pairs are counted by the sizes of the kinds, not listed. mean_coverage is the mean over the overlapping records of what all their
+        partners together hold of their lines; records without compared lines are not in it. A record that overlaps with several training
+        sources counts in each of them, so they may add up to more than ``overlapping``.
         """
-        other = self.rows.where("evaluation").select(F.col("case_id").alias("eval_id"), "split", "source")
-        pairs = materialize(self.pairs(), "overlap-found")
-        n = pairs.groupBy("eval_id").agg(F.count("*").alias("partners")).join(self.coverage(pairs), "eval_id", "left")
-        whole = other.join(n, "eval_id", "left").groupBy("split", "source").agg(F.count("*").alias("records"), F.count("partners").alias("overlapping"), F.coalesce(F.sum("partners"), F.lit(0)).alias("pairs"), F.avg("coverage").alias("mean_coverage"))
-        origin = self.rows.where("not evaluation").select(F.col("case_id").alias("train_id"), F.col("source").alias("train_source")).distinct()
-        busy = heavy_keys(pairs.groupBy("train_id").agg(F.count("*").alias("n")), ["train_id"], "n")
-        each = split_join(pairs, origin, busy, ["train_id"]).groupBy("eval_id", "train_source").agg(F.count("*").alias("partners"))
-        each = other.join(each, "eval_id").groupBy("split", "source", "train_source").agg(F.count("*").alias("overlapping"), F.sum("partners").alias("pairs"))
+        found = self.kind_pairs()
+        partners = self._partners(found)
+        n = partners.groupBy("eval_kind").agg(F.sum("n").alias("partners")).join(self.coverage(found), "eval_kind", "left")
+        other = self.kinds.where("evaluation").select(F.col("kind").alias("eval_kind"), "split", "source", F.col("n").alias("own"))
+        own, met = F.col("own"), F.col("partners").isNotNull()
+        mean = F.sum(own * F.col("coverage")) / F.sum(F.when(F.col("coverage").isNotNull(), own))
+        whole = other.join(n, "eval_kind", "left").groupBy("split", "source").agg(F.sum("own").alias("records"), F.coalesce(F.sum(F.when(met, own)), F.lit(0)).alias("overlapping"), F.coalesce(F.sum(own * F.col("partners")), F.lit(0)).alias("pairs"), mean.alias("mean_coverage"))
+        each = partners.groupBy("eval_kind", "train_source").agg(F.sum("n").alias("partners"))
+        each = other.join(each, "eval_kind").groupBy("split", "source", "train_source").agg(F.sum("own").alias("overlapping"), F.sum(own * F.col("partners")).alias("pairs"))
         listed = each.groupBy(F.col("split").alias("_split"), F.col("source").alias("_source")).agg(F.array_sort(F.collect_list(F.struct("train_source", "overlapping", "pairs"))).alias("train_sources"))
         joined = whole.join(listed, F.col("split").eqNullSafe(F.col("_split")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_split", "_source")
         return joined.withColumn("train_sources", F.coalesce("train_sources", F.array().cast(dict(listed.dtypes)["train_sources"])))

@@ -46,10 +46,12 @@ def test_pairs_are_brute_force(spark, n, seed, copies):
     assert found(spark, rows) == brute(rows)
 
 
-def test_shards_and_common_lines_do_not_matter(spark, monkeypatch):
-    rows = records(90, 4, 0.3)
-    monkeypatch.setattr("siftara.llm.overlap.SHARD_PASSAGES", 7)
-    monkeypatch.setattr("siftara.llm.overlap.COMMON_SHARE", 0.02)
+@pytest.mark.parametrize(("shards", "common"), [(1000, 2), (0, 100), (1000, 0)])
+def test_shards_and_common_lines_do_not_matter(spark, monkeypatch, shards, common):
+    rows = records(60, 4, 0.3)
+    monkeypatch.setattr("siftara.llm.overlap.SHARD_CHARS", 700)
+    monkeypatch.setattr("siftara.llm.overlap.MOST_SHARDS", shards)
+    monkeypatch.setattr("siftara.llm.overlap.COMMON", common)
     monkeypatch.setattr("siftara.llm.overlap.BROADCAST_CLASSES", 0)
     assert found(spark, rows) == brute(rows)
 
