@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftara.operators.redelivery import RepeatScreen, build_filter, keep_first, probe_filter, surplus_copies
+from siftara.operators.redelivery import MessageStore, build_filter, keep_first, probe_filter, surplus_copies
 
 SCHEMA = "delivery_id long, run_id string, received_at timestamp, bucket int, rank string"
 
@@ -67,7 +68,32 @@ def test_edges(spark):
     assert [r[0] for r in surplus_copies(tie).collect()] == [5] and [r["delivery_id"] for r in keep_first(tie).collect()] == [4]
 
 
-def test_most_messages_are_not_compared(spark):
+def test_most_messages_are_not_compared(spark, tmp_path):
     rows = [(i, f"r{i}", datetime(2026, 1, 1) + timedelta(hours=i), 1, "") for i in range(2000)]
-    screen = RepeatScreen(spark.createDataFrame(rows, SCHEMA), "run_id", "received_at", "delivery_id")
-    assert screen.possible.count() < 100
+    store = MessageStore(spark, str(tmp_path / "s"), "run_id", "received_at", "delivery_id")
+    assert store.add(spark.createDataFrame(rows, SCHEMA)).count() < 100
+
+
+def test_batches_meet_saved_filters_and_read_only_matching_buckets(spark, tmp_path):
+    """The second batch is opened anew: it is screened by the saved filters, and of 30 stored weeks only those of its repeats are read."""
+    start = datetime(2026, 1, 1)
+    old = [(i, f"r{i}", start + timedelta(days=i // 10), 1, "x") for i in range(2000)]
+    new = [(5000, " R7", start + timedelta(days=195), 1, ""), (5001, "r1500\t", start - timedelta(days=400), 1, ""), (5002, "fresh", start + timedelta(days=196), 1, "")]
+    open_ = lambda: MessageStore(spark, str(tmp_path / "s"), "run_id", "received_at", "delivery_id", shards=3)
+    first = open_()
+    assert {r[0] for r in first.surplus(first.add(spark.createDataFrame(old, SCHEMA))).collect()} == set()
+    store = open_()
+    possible = store.add(spark.createDataFrame(new, SCHEMA))
+    assert {r[0] for r in store.surplus(possible).collect()} == {5000, 1500}  # the stored copy of r1500 came later than the new one
+    read, held = len(store.matching(possible).inputFiles()), sum(f.endswith(".parquet") for _, _, fs in os.walk(tmp_path / "s/messages") for f in fs)
+    assert held > 29 and read < held / 3
+    assert store.batches() == [0, 1]
+
+
+def test_batches_are_as_one(spark, tmp_path):
+    rows = messages(400, 120, 5, 0.2)
+    store = MessageStore(spark, str(tmp_path / "s"), "run_id", "received_at", "delivery_id", shards=2)
+    said = set()
+    for part in (rows[:150], rows[150:300], rows[300:], []):
+        said |= {r[0] for r in store.surplus(store.add(spark.createDataFrame(part, SCHEMA))).collect()}
+    assert said == brute(rows)
