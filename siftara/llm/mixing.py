@@ -14,11 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftara.llm.names import broadcast_small, plain_name, registry_names
+from siftara.llm.names import plain_name, registry_names
 from siftara.llm.ranking import running_sum
+from siftara.skew import broadcast_checked
 from siftara.storage import materialize
 
-#: Bound on what the flow is solved over in the driver: patterns times mixes, and sources of mixes. Patterns are at most as many as sets of sources that occur together.
+#: Bound on what the flow of one mix is solved over in a task: its patterns times its sources. Patterns are at most as many as sets of sources that occur together; more are an error.
 MAX_CELLS = 1_000_000
 EPS = 1e-9
 
@@ -151,61 +152,76 @@ def allot(flows: dict[tuple[str, ...], float], patterns: dict[tuple[str, ...], i
     return {p: (c, different[p]) for p, c in copies.items()}
 
 
+def solve_mix(key: tuple, wanted: pd.DataFrame, held: pd.DataFrame, most: int) -> pd.DataFrame:
+    """The shares of one mix and the blocks of examples that its sources take, as rows of one table; ``held`` has the patterns of its sources, ``wanted`` its sources.
+
+    Rows come in any order and are sorted, so that the flow takes the same one of several equal ways.
+    """
+    mix, out = key[0], []
+    rows = sorted(wanted.itertuples(index=False), key=lambda r: r.source_key)
+    if not rows:
+        return pd.DataFrame(columns=SOLVED)
+    patterns = dict(sorted((tuple(p), int(n)) for p, n in zip(held["pattern"], held["n"])))
+    if len(patterns) * len(rows) > most:
+        raise ValueError(f"mix {mix}: over {most} cells of patterns and sources of mixes")
+    size = {r.source_key: float(r.size) for r in rows}
+    total, weight = sum(size.values()), sum(r.weight for r in rows)
+    goal = {r.source_key: r.weight / weight * total for r in rows}
+    repeats = {r.source_key: int(r.max_repeats) for r in rows}
+    got, uses = route(patterns, goal, repeats, size)
+    reached = sum(got.values())
+    for r in rows:
+        s = r.source_key
+        out.append((mix, s, r.weight / weight, goal[s], got[s], got[s] / reached if reached else 0.0, size[s], repeats[s], got[s] < goal[s] - EPS * max(1.0, goal[s]), None, None, None, None))
+    flows: defaultdict[str, defaultdict[tuple[str, ...], float]] = defaultdict(lambda: defaultdict(float))
+    for (p, s, _), f in sorted(uses.items()):
+        flows[s][p] += f
+    at: defaultdict[tuple[str, ...], int] = defaultdict(int)
+    for s in sorted(flows):
+        for p, (copies, different) in allot(flows[s], patterns, repeats[s], int(size[s])).items():
+            # levels of one source start at the same place, so the examples used twice are among those used once
+            for done in range(0, copies, different):
+                out.append((mix, s, *[None] * 7, list(p), patterns[p], at[p] % patterns[p], min(different, copies - done)))
+            at[p] += different
+    frame = pd.DataFrame(out, columns=SOLVED)
+    return frame.astype({"max_repeats": "Int32", "n": "Int64", "first": "Int64", "take": "Int64", "short": "boolean"})
+
+
+#: Columns of the shares of a mix, then those of its blocks.
+SHARES, BLOCKS = ["target_share", "target", "reached", "reached_share", "size", "max_repeats", "short"], ["pattern", "n", "first", "take"]
+SOLVED = ["mix_id", "source_key", *SHARES, *BLOCKS]
+
+
 class Mixture:
     """The mixtures of ``targets`` over ``items``.
 
     In a mix only rows with a weight above 0 and a source of role 'train' take part. An item belongs to a source when it
     names its key or its hf_id, spelling aside; items of no source or without example_id are in no mix. The size of a source is its number of
     different examples, at most its cap (null: none). Sizes are counted in examples. A null max_repeats means 1.
+
+    Mixes are independent: each is solved in a task of its own, from the counts of its patterns.
     """
 
     def __init__(self, items: DataFrame, sources: DataFrame, targets: DataFrame, *, seed: str = "mix"):
-        self.seed, spark = seed, items.sparkSession
-        names = broadcast_small(registry_names(sources))
+        self.seed = seed
+        names = broadcast_checked(registry_names(sources))
         members = items.where("example_id is not null").select("example_id", plain_name(F.col("source")).alias("plain")).distinct().join(names, "plain")
         held = members.groupBy("example_id").agg(F.array_sort(F.collect_set("source_key")).alias("pattern"))
         self.members = materialize(held, "mix-members")
-        counted = self.members.groupBy("pattern").agg(F.count("*").alias("n"))
+        patterns = materialize(self.members.groupBy("pattern").agg(F.count("*").alias("n")), "mix-patterns")
+        spread = patterns.select("pattern", "n", F.explode("pattern").alias("source_key"))
         asked = targets.join(sources.where("role = 'train' and source_key is not null").groupBy("source_key").agg(F.max("cap").alias("cap")), "source_key").where("weight > 0 and not isnan(weight)")
-        wanted = asked.groupBy("mix_id", "source_key").agg(F.sum("weight").alias("weight"), F.greatest(F.lit(1), F.coalesce(F.max("max_repeats"), F.lit(1))).alias("max_repeats"), F.max("cap").alias("cap")).limit(MAX_CELLS + 1).collect()
-        if len(wanted) > MAX_CELLS:
-            raise ValueError(f"over {MAX_CELLS} sources of mixes")
-        # sorted, so that the flow takes the same one of several equal ways whatever order the rows come in
-        wanted.sort(key=lambda r: r["source_key"])
-        patterns = dict(sorted((tuple(r["pattern"]), r["n"]) for r in counted.limit(MAX_CELLS).collect()))
-        mixes = defaultdict(list)
-        for r in wanted:
-            mixes[r["mix_id"]].append(r)
-        if len(patterns) * max(1, len(mixes)) >= MAX_CELLS:
-            raise ValueError(f"over {MAX_CELLS} cells of patterns and mixes")
-        sizes: defaultdict[str, int] = defaultdict(int)
-        for p, n in patterns.items():
-            for s in p:
-                sizes[s] += n
-        report, blocks = [], []
-        for mix, rows in sorted(mixes.items(), key=lambda x: (x[0] is None, x[0])):
-            size = {r["source_key"]: float(min(sizes[r["source_key"]], r["cap"] if r["cap"] is not None else sizes[r["source_key"]])) for r in rows}
-            total, weight = sum(size.values()), sum(r["weight"] for r in rows)
-            goal = {r["source_key"]: r["weight"] / weight * total for r in rows}
-            repeats = {r["source_key"]: r["max_repeats"] for r in rows}
-            got, uses = route(patterns, goal, repeats, size)
-            reached = sum(got.values())
-            for r in rows:
-                s = r["source_key"]
-                report.append((mix, s, r["weight"] / weight, goal[s], got[s], got[s] / reached if reached else 0.0, size[s], repeats[s], got[s] < goal[s] - EPS * max(1.0, goal[s])))
-            flows: defaultdict[str, defaultdict[tuple[str, ...], float]] = defaultdict(lambda: defaultdict(float))
-            for (p, s, _), f in sorted(uses.items()):
-                flows[s][p] += f
-            at: defaultdict[tuple[str, ...], int] = defaultdict(int)
-            for s in sorted(flows):
-                for p, (copies, different) in allot(flows[s], patterns, repeats[s], int(size[s])).items():
-                    # levels of one source start at the same place, so the examples used twice are among those used once
-                    for done in range(0, copies, different):
-                        blocks.append((mix, s, list(p), patterns[p], at[p] % patterns[p], min(different, copies - done)))
-                    at[p] += different
+        wanted = asked.groupBy("mix_id", "source_key").agg(F.sum("weight").alias("weight"), F.greatest(F.lit(1), F.coalesce(F.max("max_repeats"), F.lit(1))).alias("max_repeats"), F.max("cap").alias("cap"))
+        sizes = spread.groupBy("source_key").agg(F.sum("n").alias("held"))
+        size = F.least(F.coalesce("held", F.lit(0)), F.coalesce("cap", F.coalesce("held", F.lit(0))))
+        wanted = materialize(wanted.join(sizes, "source_key", "left").select("mix_id", "source_key", "weight", "max_repeats", size.alias("size")), "mix-wanted")
+        of_mix = spread.join(wanted.select(F.col("mix_id").alias("mix"), "source_key"), "source_key").select("mix", "pattern", "n").distinct()
         kind = dict(targets.dtypes)["mix_id"]
-        self.shares = spark.createDataFrame(report, f"mix_id {kind}, source_key string, target_share double, target double, reached double, reached_share double, size double, max_repeats int, short boolean")
-        self.blocks = spark.createDataFrame(blocks, f"mix_id {kind}, source_key string, pattern array<string>, n long, first long, take long")
+        schema = f"mix_id {kind}, source_key string, target_share double, target double, reached double, reached_share double, size double, max_repeats int, short boolean, pattern array<string>, n long, first long, take long"
+        most = MAX_CELLS
+        solved = materialize(wanted.groupBy("mix_id").cogroup(of_mix.groupBy("mix")).applyInPandas(lambda key, own, held: solve_mix(key, own, held, most), schema), "mix-solved")
+        self.shares = solved.where("pattern is null").select("mix_id", "source_key", *SHARES)
+        self.blocks = solved.where("pattern is not null").select("mix_id", "source_key", *BLOCKS)
 
     def short_sources(self) -> DataFrame:
         """mix_id and source_key of the sources whose quota the flow could not fill."""
@@ -216,5 +232,5 @@ class Mixture:
         turn = F.md5(F.concat_ws("\n", F.lit(self.seed), "example_id"))
         placed = running_sum(self.members.select("example_id", "pattern", turn.alias("turn"), F.lit(1).alias("one")), ["pattern"], "turn", "one", "place")
         inside = F.pmod(F.col("place") - F.col("first"), F.col("n")) < F.col("take")
-        chosen = placed.join(broadcast_small(self.blocks, MAX_CELLS), "pattern").where(inside)
+        chosen = placed.join(broadcast_checked(self.blocks, MAX_CELLS, held=True), "pattern").where(inside)
         return chosen.groupBy("mix_id", "source_key", "example_id").agg(F.count("*").cast("int").alias("copies"))

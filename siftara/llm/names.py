@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A registry of more sources than this is joined by shuffle instead of broadcast.
-BROADCAST_ROWS = 10_000
-
 
 def plain_name(name: Column) -> Column:
     """Without letter case and outer blanks, and with one sign for - _ . and blank."""
@@ -24,7 +21,3 @@ def registry_names(sources: DataFrame, *columns: str) -> DataFrame:
     names = sources.where("source_key is not null").select(F.explode(F.array_distinct(F.array(plain_name(F.col("source_key")), plain_name(F.col("hf_id"))))).alias("plain"), F.struct("source_key", *columns).alias("source_row")).where("plain is not null")
     return names.groupBy("plain").agg(F.min("source_row").alias("source_row")).select("plain", "source_row.*")
 
-
-def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if len(df.select(F.lit(1)).limit(rows + 1).collect()) <= rows else df

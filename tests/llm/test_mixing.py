@@ -110,8 +110,11 @@ def test_allot_keeps_the_cap():
         assert sum(d for _, d in got.values()) <= size and all(d <= patterns[p] and d <= c <= repeats * d for p, (c, d) in got.items())
 
 
-def test_too_many_targets_are_an_error(spark, monkeypatch):
+def test_mixes_are_solved_apart_and_none_is_lost(spark, monkeypatch):
     monkeypatch.setattr("siftara.llm.mixing.MAX_CELLS", 5)
     names = "abc"
-    with pytest.raises(ValueError, match="sources of mixes"):
-        mixture(spark, [("e", "a", "")], [(s, None, "train", None) for s in names], [(m, s, 1.0, 1) for m in range(2) for s in names])
+    registry = [(s, None, "train", None) for s in names]
+    mix = mixture(spark, [("e", "a", "")], registry, [(m, s, 1.0, 1) for m in range(20) for s in names])
+    assert {(r["mix_id"], r["source_key"]) for r in mix.shares.collect()} == {(m, s) for m in range(20) for s in names}
+    with pytest.raises(Exception, match="sources of mixes"):
+        mixture(spark, [(f"e{s}{t}", x, "") for s in names for t in names for x in (s, t)], registry, [(1, s, 1.0, 1) for s in names])
