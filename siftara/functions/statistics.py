@@ -96,9 +96,10 @@ def paired_bootstrap(df: DataFrame, first: str, second: str, strata: str, *, rep
 
 
 def interval(replicates: DataFrame, value: str = "macro", level: float = 0.95) -> DataFrame:
-    """low and high by linear interpolation between replicates."""
+    """low and high by rank: the replicates outside them are no more than the level leaves over on each side."""
     tail = (1 - level) / 2
-    return replicates.agg(F.percentile(value, F.lit(tail)).alias("low"), F.percentile(value, F.lit(1 - tail)).alias("high"), F.count("*").alias("replicates"))
+    values = F.collect_list(value)  # one number for each replicate
+    return replicates.agg(rank_percentile(values, tail, upper=False).alias("low"), rank_percentile(values, 1 - tail, upper=True).alias("high"), F.count("*").alias("replicates"))
 
 
 def permutation_p(pairs: Sequence[tuple[float, float]], *, draws: int = 20_000, seed: int = 7) -> float:

@@ -28,9 +28,11 @@ def label_problems(codes: Column, probs: Column, temperature: Column, *, toleran
 def pivot_labels(questions: DataFrame, labels: DataFrame, keys: list[str], teacher: str, value: str) -> DataFrame:
     """``questions`` with ``labels``, a map from teacher to value; an empty map where no teacher labelled the question.
 
-    Of repeated labels of one teacher the smallest value counts.
+    A label that is repeated alike counts once (NaN equals NaN); labels of one teacher that differ are an error that names the question.
     """
-    one = labels.groupBy(*keys, teacher).agg(F.min(value).alias(value))
+    where = F.concat(F.lit("conflicting labels: "), F.to_json(F.struct(*keys, teacher)))
+    one = labels.groupBy(*keys, teacher).agg(F.min(value).alias("_least"), F.max(value).alias("_most"))
+    one = one.select(*keys, teacher, F.when(F.col("_least").eqNullSafe(F.col("_most")), F.col("_least")).otherwise(F.raise_error(where)).alias(value))
     per = one.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(teacher, value)))).alias("labels"))
     empty = F.create_map().cast(dict(per.dtypes)["labels"])
     return questions.join(per, keys, "left").withColumn("labels", F.coalesce("labels", empty))

@@ -282,7 +282,7 @@ def reasoning_clean(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").where("text is not null").select("doc_id", F.sha2(T.tidy(F.col("text")), 256).alias("tidy"))
 
 
-@R.add("select item_id, coalesce(nullif(upper(regexp_extract(text, '(?i)answer\\s*(?:is)?\\s*[:=]?\\s*\\(?([ABCD])\\b', 1)), ''), regexp_extract_all(text, '\\b([ABCD])\\b', 1)[-1]) as letter from bench_items")
+@R.add("select item_id, coalesce(nullif(upper(regexp_extract(text, '(?i)answer\\W*([ABCD])\\b', 1)), ''), regexp_extract_all(text, '\\b([ABCD])\\b', 1)[-1]) as letter from bench_items")
 def letter_parse(spark: SparkSession, folder: str) -> DataFrame:
     """The last answer letter in every item text."""
     return table(spark, folder, "bench_items").select("item_id", T.last_letter(F.col("text")).alias("letter"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftara.functions import text as T
 from siftara.functions.hashing import digest
+from siftara.operators import answers
 from siftara.operators import requests as Q
 from siftara.operators import results as P
 from siftara.operators import runlog
@@ -24,20 +25,35 @@ def request_types(spark: SparkSession, folder: str) -> DataFrame:
     return q.select("q.type", F.size(Q.option_keys(F.col("q"))).alias("k")).groupBy("type").agg(F.count("*").alias("n"), F.sum("k").alias("options"))
 
 
-@R.add("""select run_id, count(*) as copies from items where json_extract_string(gold, '$.q1') is not null and not list_contains(case json_extract_string(request, '$.questions.q1.type')
-    when 'choice' then json_keys(request, '$.questions.q1.criteria') when 'score' then list_transform(range(json_array_length(request, '$.questions.q1.criteria')::bigint), lambda i: i::varchar) else ['false', 'true'] end, json_extract_string(gold, '$.q1')) group by run_id""")
+#: Requests by the last letter of their digest's first byte: those of 0 to 3 are spoilt, each in its own way
+_SPOIL = "ord(sha256(run_id)[1]) % 8"
+
+
+def _spoil() -> Column:
+    return F.pmod(F.ascii(F.sha2("run_id", 256)), F.lit(8))
+
+
+@R.add(f"""with g as (select run_id, case {_SPOIL} when 0 then 'no such option' else json_extract_string(gold, '$.q1') end as said, case {_SPOIL} when 1 then 'q9' else 'q1' end as question, request from items where run_id is not null),
+    p as (select run_id, case when question = 'q9' then 'unknown_question' when said is not null and not list_contains(case json_extract_string(request, '$.questions.q1.type')
+        when 'choice' then json_keys(request, '$.questions.q1.criteria') when 'score' then list_transform(range(json_array_length(request, '$.questions.q1.criteria')::bigint), lambda i: i::varchar) else ['false', 'true'] end, said) then 'no_option' end as problem from g)
+    select run_id, problem, count(*) as copies from p where problem is not null group by run_id, problem""")
 def gold_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests whose gold answer is none of the options."""
-    bad = F.size(Q.gold_problems(F.col("request"), F.col("gold"))) > 0
-    return table(spark, folder, "items").where(bad).groupBy("run_id").agg(F.count("*").alias("copies"))
+    """Requests whose gold answer is none of the options, or of no question; a quarter of them were spoilt so."""
+    said = F.when(_spoil() == 0, "no such option").otherwise(F.get_json_object("gold", "$.q1"))
+    gold = F.concat(F.lit('{"'), F.when(_spoil() == 1, "q9").otherwise("q1"), F.lit('": '), F.coalesce(Q.json_text(said), F.lit("null")), F.lit("}"))
+    p = table(spark, folder, "items").where("run_id is not null").select("run_id", F.explode(Q.gold_problems(F.col("request"), gold)).alias("p"))
+    return p.groupBy("run_id", F.substring_index("p", ":", 1).alias("problem")).agg(F.count("*").alias("copies"))
 
 
-@R.add("""select run_id, count(*) as copies from items where not coalesce(json_valid(request), false) or json_extract(request, '$.state') is null or json_extract(request, '$.questions.q1') is null
-    or coalesce(json_extract_string(request, '$.questions.q1.type'), '') not in ('choice', 'noul', 'score')
-    or (json_extract_string(request, '$.questions.q1.type') = 'score' and json_array_length(request, '$.questions.q1.criteria') < 2) group by run_id""")
+@R.add(f"""with g as (select run_id, {_SPOIL} as k, json_extract_string(request, '$.questions.q1.type') as type from items where run_id is not null)
+    select run_id, case k when 0 then 'no_object' when 1 then 'no_questions' when 2 then 'type' when 3 then 'option_count' end as problem, count(*) as copies from g where k < 3 or k = 3 and type = 'choice' group by 1, 2""")
 def request_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests that are not well formed."""
-    return table(spark, folder, "items").where(F.size(Q.request_problems(F.col("request"))) > 0).groupBy("run_id").agg(F.count("*").alias("copies"))
+    """Requests that are not well formed: half of them were cut, emptied or given another type or no options."""
+    r, k = F.col("request"), _spoil()
+    type_ = F.get_json_object(r, "$.questions.q1.type")
+    spoilt = F.when(k == 0, F.substring(r, 1, 20)).when(k == 1, F.lit('{"state": "", "questions": {}}')).when(k == 2, F.replace(r, F.concat(F.lit('"type":"'), type_), F.lit('"type":"x'))).when((k == 3) & (type_ == "choice"), F.lit('{"state": {}, "questions": {"q1": {"type": "choice", "criteria": {}}}}')).otherwise(r)
+    p = table(spark, folder, "items").where("run_id is not null").select("run_id", F.explode(Q.request_problems(spoilt)).alias("p"))
+    return p.groupBy("run_id", F.element_at(F.split("p", ": "), -1).alias("problem")).agg(F.count("*").alias("copies"))
 
 
 @R.add("""select doc_id, list_position(['rationale', 'adr', 'trace', 'issue', 'readme', 'code'], doc_kind) - 1 as place, 'option_' || lpad((list_position(['rationale', 'adr', 'trace', 'issue', 'readme', 'code'], doc_kind) - 1)::varchar, 3, '0') as gold
@@ -51,25 +67,28 @@ def classification_adapter(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", (F.array_position(keys, F.col("gold")) - 1).cast("int").alias("place"), "gold")
 
 
-@R.add("select event_id, case when value >= 50 then 'true' else 'false' end as gold from events where event_type <> ''")
+@R.add("""select event_id, case when value >= 50 then 'true' else 'false' end as gold,
+    sha256('{"state":' || to_json(event_type) || ',"questions":{"q1":{"type":"noul","instructions":"Is the value high?","criteria":{"false":"No","true":"Yes"}}}}') as request from events where event_type <> ''""")
 def binary_adapter(spark: SparkSession, folder: str) -> DataFrame:
     """Events as yes/no questions about their value."""
-    _, gold = Q.yes_no(F.col("event_type"), F.col("value"), "Is the value high?", threshold=50)
-    return table(spark, folder, "events").select("event_id", F.get_json_object(gold, "$.q1").alias("gold")).where("gold is not null")
+    request, gold = Q.yes_no(F.col("event_type"), F.col("value"), "Is the value high?", threshold=50)
+    return table(spark, folder, "events").select("event_id", F.get_json_object(gold, "$.q1").alias("gold"), F.sha2(request, 256).alias("request")).where("gold is not null")
 
 
-@R.add("select p_partkey, chr(65 + (p_size % 4)) as gold from part where p_brand <> p_type and p_brand <> p_name and p_type <> p_name and not (p_brand = '' or p_type = '' or p_name = '')")
+@R.add("""select p_partkey, chr(65 + (p_size % 4)) as gold, sha256('{"state":{},"questions":{"q1":{"type":"choice","instructions":"Which?","criteria":{"A":' || to_json(p_brand) || ',"B":' || to_json(p_type) || ',"C":' || to_json(p_name) || ',"D":"none of these"}}}}') as request
+    from part where p_brand <> p_type and p_brand <> p_name and p_type <> p_name and not (p_brand = '' or p_type = '' or p_name = '')""")
 def choice_adapter(spark: SparkSession, folder: str) -> DataFrame:
     """Parts as multiple-choice questions with the answer given by place."""
     texts = F.array("p_brand", "p_type", "p_name", F.lit("none of these"))
-    _, gold = Q.multiple_choice(F.lit("Which?"), texts, F.pmod("p_size", F.lit(4)) + 1, offset=1)
-    return table(spark, folder, "part").select("p_partkey", F.get_json_object(gold, "$.q1").alias("gold")).where("gold is not null")
+    request, gold = Q.multiple_choice(F.lit("Which?"), texts, F.pmod("p_size", F.lit(4)) + 1, offset=1)
+    return table(spark, folder, "part").select("p_partkey", F.get_json_object(gold, "$.q1").alias("gold"), F.sha2(request, 256).alias("request")).where("gold is not null")
 
 
-@R.add("select i as place, case when i < 26 then chr(65 + i::int) else 'option_' || lpad(i::varchar, 3, '0') end as key from range(255) r(i)")
+@R.add("""select n, i as place, case when n <= 26 then chr(65 + i::int) else 'option_' || lpad(i::varchar, 3, '0') end as key from (values (2), (26), (27), (255)) t(n), lateral (select unnest(range(n)) as i)""")
 def option_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """Keys of up to 255 options."""
-    return spark.range(255).select(F.col("id").alias("place"), Q.numbered_key(F.col("id").cast("int")).alias("key"))
+    """Keys of questions with 2, 26, 27 and 255 options."""
+    n = spark.createDataFrame([(n,) for n in (2, 26, 27, 255)], "n int")
+    return n.select("n", F.posexplode(Q.numbered_keys(F.col("n"))).alias("place", "key"))
 
 
 @R.add("""with d as (select p_retailprice as v, dense_rank() over (order by p_retailprice) - 1 as r from (select distinct p_retailprice from part)),
@@ -82,26 +101,37 @@ def nearest_values(spark: SparkSession, folder: str) -> DataFrame:
     return near.select("p_partkey", F.round(F.aggregate("near", F.lit(0.0), lambda a, x: a + x), 4).alias("near"))
 
 
-@R.add("select distinct run_id, 'State: ' || coalesce(json_extract_string(request, '$.state'), '') || chr(10) || 'Question q1: ' || coalesce(json_extract_string(request, '$.questions.q1.instructions'), '') || chr(10) || 'false. No / false' || chr(10) || 'true. Yes / true' as prompt from items where json_extract_string(request, '$.questions.q1.type') = 'noul'")
+@R.add("""with i as (select distinct run_id, request, json_extract_string(request, '$.questions.q1.type') as type from items),
+    o as (select run_id, request, k.i, k.key, case type when 'choice' then json_extract_string(request, '$.questions.q1.criteria."' || k.key || '"') when 'score' then json_extract_string(request, '$.questions.q1.criteria[' || k.key || ']')
+            else coalesce(json_extract_string(request, '$.questions.q1.criteria.' || k.key), case k.key when 'false' then 'No / false' else 'Yes / true' end) end as text
+        from i, lateral (select unnest(case type when 'choice' then json_keys(request, '$.questions.q1.criteria') when 'score' then list_transform(range(json_array_length(request, '$.questions.q1.criteria')::bigint), lambda x: x::varchar) else ['false', 'true'] end) as key,
+            unnest(range(case type when 'choice' then len(json_keys(request, '$.questions.q1.criteria'))::bigint when 'score' then json_array_length(request, '$.questions.q1.criteria')::bigint else 2 end)) as i) k),
+    l as (select run_id, request, string_agg(key || '. ' || text, chr(10) order by i) as options from o group by run_id, request)
+    select run_id, sha256('State: ' || coalesce(json_extract_string(request, '$.state'), '') || chr(10) || 'Question q1: ' || coalesce(json_extract_string(request, '$.questions.q1.instructions'), '') || chr(10) || options) as prompt from l""")
 def prompt_render(spark: SparkSession, folder: str) -> DataFrame:
-    """Yes/no requests as prompts."""
-    noul = F.get_json_object("request", "$.questions.q1.type") == "noul"
-    return table(spark, folder, "items").where(noul).select("run_id", Q.render(F.col("request")).alias("prompt")).distinct()
+    """Digest of every request as a prompt, of whatever type."""
+    return table(spark, folder, "items").select("run_id", F.sha2(Q.render(F.col("request")), 256).alias("prompt")).distinct()
 
 
 @R.add()
 def permute_options(spark: SparkSession, folder: str) -> DataFrame:
     """The option order of every request and whether it can be taken back."""
     q = table(spark, folder, "items").select("run_id", Q.option_keys(Q.view(F.col("request"))["questions"]["q1"]).alias("keys")).dropDuplicates(["run_id"])
-    o = q.withColumn("order", Q.option_order(F.size("keys"), F.concat(F.lit("permute|"), F.col("run_id"))))
+    o = q.withColumn("order", Q.option_order(F.size("keys"), Q.order_key(F.size("keys"), F.col("run_id"), F.lit("q1"), seed=7)))
     return o.select("run_id", F.array_join(Q.reorder(F.col("keys"), F.col("order")), ",").alias("shown"), (Q.restore(Q.reorder(F.col("keys"), F.col("order")), F.col("order")) == F.col("keys")).alias("restored"))
 
 
-@R.add()
+@R.add("""with q as (select run_id, min(json_extract_string(gold, '$.q1')) as gold, min(json_extract_string(request, '$.questions.q1.type')) as type from items where json_extract_string(gold, '$.q1') is not null and run_id is not null group by run_id)
+    select run_id, gold as key, ['marker', 'generic', 'boxed'][ord(sha256(run_id)[1]) % 3 + 1] as how from q where type = 'choice'""")
 def extract_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """The option that every item text names last."""
-    keys = F.array(*[F.lit(k) for k in "ABCD"])
-    return table(spark, folder, "bench_items").select("item_id", Q.extract_answer("text", keys).alias("a")).select("item_id", "a.key", "a.how")
+    """The gold option of every choice request, said in one of three ways and read again."""
+    said = F.get_json_object("gold", "$.q1")
+    i = table(spark, folder, "items").where(said.isNotNull() & F.col("run_id").isNotNull() & (F.get_json_object("request", "$.questions.q1.type") == "choice"))
+    one = i.groupBy("run_id").agg(F.min_by(F.struct(said.alias("gold"), "request"), said).alias("r")).select("run_id", "r.*")
+    way = F.pmod(F.ascii(F.sha2("run_id", 256)), F.lit(3))
+    reply = F.when(way == 0, F.concat(F.lit("Not A.\nANSWER q1: ("), "gold", F.lit(")"))).when(way == 1, F.concat(F.lit("So the answer is **"), "gold", F.lit("**."))).otherwise(F.concat(F.lit("It follows: $\\boxed{"), "gold", F.lit("}$")))
+    a = answers.request_answers(reply, "request")
+    return one.select("run_id", F.explode(a).alias("a")).select("run_id", "a.key", "a.how")
 
 
 @R.add()

@@ -104,11 +104,13 @@ def label_validation(spark: SparkSession, folder: str) -> DataFrame:
     return e.select(F.explode(labels.label_problems(F.col("c"), F.col("p"), F.col("t"))).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
 
 
-@R.add("select case_id, chr(65 + (list_position(['train', 'val', 'test'], split) - 1)::int) as gold from cases where trim(stem) <> '' and trim(family) <> ''")
+@R.add("""select case_id, chr(65 + (list_position(['train', 'val', 'test'], split) - 1)::int) as gold,
+    sha256('{"state":{},"questions":{"q1":{"type":"choice","instructions":' || to_json('How does the hypothesis relate to the premise?' || chr(10) || 'Premise: ' || trim(stem) || chr(10) || 'Hypothesis: ' || trim(family)) || ',"criteria":{"A":"train","B":"val","C":"test"}}}}') as request
+    from cases where trim(stem) <> '' and trim(family) <> ''""")
 def entailment_adapter(spark: SparkSession, folder: str) -> DataFrame:
     """Records as three-way questions about a pair of texts."""
-    _, gold = Q.entailment(F.col("stem"), F.col("family"), F.col("split"), ("train", "val", "test"))
-    return table(spark, folder, "cases").select("case_id", F.get_json_object(gold, "$.q1").alias("gold")).where("gold is not null")
+    request, gold = Q.entailment(F.col("stem"), F.col("family"), F.col("split"), ("train", "val", "test"))
+    return table(spark, folder, "cases").select("case_id", F.get_json_object(gold, "$.q1").alias("gold"), F.sha2(request, 256).alias("request")).where("gold is not null")
 
 
 @R.add(r"""with c as (select doc_id, unnest(string_split(regexp_replace(text, '\s+', '', 'g'), '')) as ch from documents where text is not null and regexp_replace(text, '\s+', '', 'g') <> ''),

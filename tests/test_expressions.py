@@ -55,6 +55,27 @@ def test_tidy_clip_neutralize(spark):
     assert values(spark, [("x <|a|> <|ab|>",)], "t string", T.neutralize(F.col("t"), ["<|a", "<|ab|>"])) == [("x ＜|a|> ＜|ab|>",)]
 
 
+LABEL = "Raciocínio:"
+
+
+@pytest.mark.parametrize(
+    ("state", "reasoning", "most", "folded"),
+    [
+        ("Late card.", "One.\nSo B.", 8000, f"Late card.\n\n{LABEL}\nOne.\nSo B."), ("Late card.\n\n  ", "So B.", 8000, f"Late card.\n\n{LABEL}\nSo B."), ("", "So B.", 8000, f"{LABEL}\nSo B."),
+        ("s", "One.\r\nTwo.\rSo B.  \t\n", 8000, f"s\n\n{LABEL}\nOne.\nTwo.\nSo B."), ("s", "One.\n\n\n\nSo B.", 8000, f"s\n\n{LABEL}\nOne.\n\nSo B."), ("s", f"One.\n  {LABEL}  \nB", 8000, f"s\n\n{LABEL}\nOne.\n  Raciocínio :\nB"),
+        ("s", "\n\n  \tOne\nB\n", 8000, f"s\n\n{LABEL}\n  \tOne\nB"), (f"s\n {LABEL}", "B", 8000, None), ("s", " \n", 8000, None), ("s", None, 8000, "s"), ("s", "\n".join(f"line {i:02d}" for i in range(40)), 60, f"s\n\n{LABEL}\n[... 296 caracteres omitidos ...]\nline 37\nline 38\nline 39"),
+    ],
+)
+def test_fold_reasoning(spark, state, reasoning, most, folded):
+    assert values(spark, [(state, reasoning)], "s string, r string", T.fold_reasoning(F.col("s"), F.col("r"), most)) == [(folded,)]
+
+
+def test_strip_and_last_letter(spark):
+    assert values(spark, [("\u00a0 \t\x1fa b\u2003\n",)], "t string", T.strip(F.col("t"))) == [("a b",)]
+    said = [("ANSWER - **C**", "C"), ("answer is B", "B"), ("the answer: (d)", "D"), ("answered A but C", "C"), ("no", None)]
+    assert [x for (x,) in values(spark, [(t,) for t, _ in said], "t string", T.last_letter(F.col("t")))] == [x for _, x in said]
+
+
 def test_json_texts(spark):
     v = {"b": [1, True, None, "x"], "a": {"k": "é"}}
     leaves, canonical = values(spark, [(json.dumps(v),)], "t string", T.leaf_texts("t"), T.canonical_json("t"))[0]

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftara.functions.hashing import digest
-from siftara.operators import calibration, dedup, labels, requests, runlog, scoring, selection
+from siftara.operators import answers, calibration, dedup, labels, requests, runlog, scoring, selection
 from siftara.operators.ranks import dense_ranks
 from siftara.operators.screening import Screen
+from siftara.sources import policy
 
 
 def test_holdout_is_exact_and_stable(spark):
@@ -155,6 +156,62 @@ def test_extract_answer(spark, reply, key, how):
     assert tuple(df.select(requests.extract_answer("t", "k").alias("a")).select("a.key", "a.how").first()) == (key, how)
 
 
+@pytest.mark.parametrize(("n", "seed", "example", "epoch", "order"), [(5, 7, "ex1", 0, [4, 0, 1, 2, 3]), (8, 1234, "clinc_oos:42", 1, [2, 7, 4, 0, 6, 5, 3, 1]), (1, 0, "e", 0, [0]), (0, 0, "e", 0, [])])
+def test_option_order_has_its_golden_values(spark, n, seed, example, epoch, order):
+    df = spark.createDataFrame([(n, example)], "n int, e string")
+    assert df.select(requests.option_order("n", requests.order_key(F.col("n"), F.col("e"), F.lit("q1"), seed=seed, epoch=epoch))).first()[0] == order
+
+
+def test_option_keys_past_the_letters(spark):
+    keys = {r["n"]: r["k"] for r in spark.createDataFrame([(0,), (2,), (26,), (27,)], "n int").withColumn("k", requests.numbered_keys(F.col("n"))).collect()}
+    assert keys[0] == [] and keys[2] == ["A", "B"] and keys[26][-1] == "Z" and keys[27] == [f"option_{i:03d}" for i in range(27)]
+
+
+@pytest.mark.parametrize(
+    ("reply", "key", "how"),
+    [
+        ("answer q1: A\nANSWER q1: none of them", None, "marker"), ("Answer (q1) -\n\n**b)** it is", "B", "marker"), ("answer q1 = second thing.", "B", "marker"), ("answer q12: A\nanswer is option C", "C", "generic"), ("Answer: it's therefore *(D)*", "D", "generic"),
+        ("the answer is a good one: B", "B", "bare"), ("answer \u2014 \\text{C}", "C", "generic"), ("\\boxed{A} or \\boxed{third thing}", "C", "boxed"), ("", None, None),
+    ],
+)
+def test_statements_of_an_answer(reply, key, how):
+    options = [answers.Option(k, k, t) for k, t in zip("ABCD", ("first thing", "second thing", "third thing", "fourth thing"))]
+    assert answers.read_answer(reply, "q1", options, True) == (key, how)
+
+
+def test_answers_to_several_questions():
+    yes = [answers.Option("true", "yes", "It does"), answers.Option("false", "no", "It does not")]
+    reply = "1. q1: yes\n* q2 - No, never\nq1: no"
+    assert answers.read_answer(reply, "q1", yes, False) == ("false", "line") and answers.read_answer(reply, "q2", yes, False) == ("false", "line")
+    assert answers.read_answer("the answer is yes", "q1", yes, False) == (None, None) and answers.read_answer("answer: it does not.", "q1", yes, True) == ("false", "generic")
+
+
+def test_reply_parts_and_noise():
+    assert answers.split_reply("<think> a </think> b") == ("a", "b") and answers.split_reply("x</think>y") == ("x", "y") and answers.split_reply("<think>a") == ("a", None) and answers.split_reply(" b ") == ("", "b") and answers.split_reply(None) == ("", None)
+    assert answers.is_noise("!" * 300) and answers.is_noise("a+-=" * 100) and not answers.is_noise("plain words here " * 30) and not answers.is_noise("!!!") and not answers.is_noise(None)
+
+
+def test_policy(spark):
+    rows = [("k", "h/x", "MIT", "allow", "seen", "train", []), ("k", "h/x", "cc-by-sa-4.0", "allow", "seen", "train", ["licence"]), ("k", "facebook/anli", "mit", "review", "", "train", ["denied"]), ("gpqa_main", None, "mit", "allow", " ", "x", ["role", "denied", "evidence"]), ("k", None, "cc-by-nc-4.0", "deny", None, "heldout", []), ("k", None, None, None, None, None, ["decision", "role"])]
+    df = spark.createDataFrame([r[:6] for r in rows], "a string, b string, c string, d string, e string, f string")
+    assert [r[0] for r in df.select(policy.policy_problems(*[F.col(c) for c in "abcdef"])).collect()] == [r[6] for r in rows]
+    assert [r[0] for r in df.select(policy.licence_status(F.col("c"))).collect()] == ["allow", "review", "allow", "allow", "deny", "review"]
+
+
+def test_conflicting_labels_are_an_error(spark):
+    q = spark.createDataFrame([(1,), (2,)], "k int")
+    nan = float("nan")
+    same = spark.createDataFrame([(1, "t", nan), (1, "t", nan), (1, "u", 2.0)], "k int, who string, v double")
+    assert {r["k"]: len(r["labels"]) for r in labels.pivot_labels(q, same, ["k"], "who", "v").collect()} == {1: 2, 2: 0}
+    with pytest.raises(Exception, match="conflicting labels"):
+        labels.pivot_labels(q, same.unionByName(spark.createDataFrame([(1, "u", 3.0)], same.schema)), ["k"], "who", "v").collect()
+
+
+def test_final_numbers(spark):
+    df = spark.createDataFrame([("so #### 1,234",), ("#### -2.50 x",), ("none",), (None,), ("#### .5",)], "t string")
+    assert [r[0] for r in df.select(requests.final_number(F.col("t"))).collect()] == ["1234", "-2.5", None, None, "0.5"]
+
+
 def test_dense_ranks(spark):
     v = [random.Random(4).randrange(100) for _ in range(300)]
     got = {r[0]: r[1] for r in dense_ranks(spark.createDataFrame([(x,) for x in v], "v long"), "v", "r").collect()}
