@@ -12,9 +12,13 @@ HEAVY_SHARE = 0.001
 
 
 def heavy_keys(counted: DataFrame, on: Sequence[str], count: str) -> DataFrame:
-    """The keys of ``counted`` (one row per key with its row count) that hold over HEAVY_SHARE of all rows; at most 1,000 rows."""
+    """The keys of ``counted`` (one row per key with its row count) that hold over HEAVY_SHARE of all rows; at most 1,000 rows.
+
+    They are looked up at once and come back as a local table, so that the plans that use them stay small.
+    """
     total = counted.agg(F.sum(count)).first()[0] or 0
-    return counted.where(F.col(count) > total * HEAVY_SHARE).select(*on)
+    keys = counted.where(F.col(count) > total * HEAVY_SHARE).select(*on)
+    return counted.sparkSession.createDataFrame(keys.toArrow(), keys.schema)
 
 
 def split_join(rows: DataFrame, keys: DataFrame, heavy: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
