@@ -138,7 +138,25 @@ _SIZES = f"""
         where t.weight > 0 and s.role = 'train'),
     goal as (select *, weight / sum(weight) over (partition by mix_id) * sum(size) over (partition by mix_id) as target from part)"""
 
+#: White space, comments, docstrings and empty lines go as the rule says; x(id, lines, lost, key): the distinct lines of a record and its search block without white space
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_DOC = r"""(?m)^[ \t]*[rubf]{0,2}(?:\"\"\"[\s\S]*?\"\"\"|\'\'\'[\s\S]*?\'\'\')""".replace("\\'", "''").replace('\\"', '"')
+_NOTE = r"""(?m)^((?:[^#"'\n]|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')*)#.*$""".replace("'", "''")
+_LINES_OF = f"list_distinct(list_filter(list_transform(string_split(regexp_replace(regexp_replace(replace(replace(lower(coalesce(original, '')), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '{_DOC}', '', 'g'), '{_NOTE}', '\\1', 'g'), chr(10)), lambda l: regexp_replace(l, '{_WHITE}', '', 'g')), lambda l: l <> ''))"
+_P1 = f"""
+    x as (select case_id as id, case_key, split = 'train' as train, {_LINES_OF} as lines, regexp_replace(coalesce(original, ''), '{_WHITE}', '', 'g') = '' as lost,
+        case when len(list_filter(string_split_regex(search, '\\r\\n?|\\n'), lambda l: regexp_replace(l, '{_WHITE}', '', 'g') <> '')) >= 3 then regexp_replace(lower(search), '{_WHITE}', '', 'g') end as block from cases where split is not null),
+    l as (select id, train, len(lines) as n, unnest(lines) as line from x),
+    shared as (select t.id as t, e.id as e, count(*) as k, any_value(t.n) as tn, any_value(e.n) as en from l t join l e on t.line = e.line and t.train and not e.train group by t.id, e.id),
+    pairs as (
+        select t, e from shared where k >= 0.6 * (tn + en - k)
+        union select t.id, e.id from x t join x e on t.train and not e.train and t.case_key = e.case_key
+        union select t.id, e.id from x t join x e on t.train and not e.train and (t.lost or e.lost) and t.block = e.block)"""
+
 SQL = {
+    "p1_found": f"with {_P1} select least(t, e) as case_id_a, greatest(t, e) as case_id_b from pairs",
+    "p2_shares": f"""with {_SIZES}, r as (select *, least(target, max_repeats * size) as reached from goal)
+        select mix_id, source_key, weight / sum(weight) over (partition by mix_id) as target_share, target, reached::double as reached, reached / sum(reached) over (partition by mix_id) as reached_share, size::double as size, max_repeats, max_repeats * size < target as short from r""",
     "p2_found": f"with {_SIZES} select mix_id, source_key from goal where max_repeats * size < target",
     "p3_found": "select distinct run_id from items where proxy_tokens is null or proxy_tokens < length(request) / 6.0 or proxy_tokens > length(request) * 2 / 3.0",
     "p4_found": f"""
