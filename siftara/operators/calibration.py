@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftara.functions import distributions as D
+from siftara.skew import broadcast_checked
 
 
 def scores(df: DataFrame, probs: str, gold: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -41,7 +42,7 @@ def fit_temperature(df: DataFrame, logits: str, gold: str, groups: Sequence[str]
         around = F.array_distinct(F.array(*[F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), F.col("best") * (ratio**k))) for k in steps]))
         rows = df.where(F.col(gold).isNotNull()).select(*groups, logits, gold)
         near = best.withColumnRenamed("temperature", "best").select(*groups, "best")
-        joined = rows.join(F.broadcast(near), list(groups)) if groups else rows.crossJoin(F.broadcast(near))  # without groups ``near`` is one row
+        joined = rows.join(broadcast_checked(near), list(groups)) if groups else rows.crossJoin(F.broadcast(near))  # without groups ``near`` is one row
         each = joined.withColumn("temperature", F.explode(around))
         nll = D.negative_log(D.softmax(F.col(logits), F.col("temperature")), F.col(gold))
         best = _best(each.groupBy(*groups, "temperature").agg(F.count("*").alias("n"), F.avg(nll).alias("nll")), groups)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftara.functions.hashing import digest
+from siftara.operators.ranks import running_sum
 
 
 def cap_per_group(df: DataFrame, groups: Sequence[str], turn: Column, cap: Column | int) -> DataFrame:
@@ -55,11 +56,12 @@ def one_per_case(df: DataFrame, case: Sequence[str], key: str, seed: str) -> Dat
 
 
 def interleave(df: DataFrame, group: str, turn: Column, name: str = "round") -> DataFrame:
-    """``df`` with ``name``, its place in its group; ordered by it and the group, rows come out in turn from all groups."""
-    return df.withColumn("_turn", turn).withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy("_turn"))).drop("_turn")
+    """``df`` with ``name``, its place in its group; ordered by it and the group, rows come out in turn from all groups. ``turn`` is a hex digest; places are counted by its ranges, so a hot group is not sorted as one."""
+    placed = running_sum(df.withColumn("_turn", turn).withColumn("_one", F.lit(1)), [group], "_turn", "_one", "_before")
+    return placed.withColumn(name, (F.col("_before") + 1).cast("int")).select(*df.columns, name)
 
 
 def fit_budget(sizes: DataFrame, group: str, turn: Column, size: str, budget: int) -> DataFrame:
-    """Rows of each group while the running sum of ``size``, in the order of ``turn``, stays within ``budget``."""
-    w = Window.partitionBy(group).orderBy("_turn").rowsBetween(Window.unboundedPreceding, 0)
-    return sizes.withColumn("_turn", turn).withColumn("running", F.sum(size).over(w)).where(F.col("running") <= budget).drop("_turn")
+    """Rows of each group while the running sum of ``size``, in the order of ``turn`` (a hex digest), stays within ``budget``; sums are added up by ranges of the digest."""
+    summed = running_sum(sizes.withColumn("_turn", turn), [group], "_turn", size, "_before").withColumn("running", F.col("_before") + F.col(size))
+    return summed.where(F.col("running") <= budget).select(*sizes.columns, "running")

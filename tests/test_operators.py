@@ -242,3 +242,11 @@ def test_full_fits_are_those_of_the_reference(spark, tmp_path):
     assert judging.temperature_scan_full(spark, str(tmp_path)).count() == 33
     gates = {r["threshold"]: r["sent"] for r in judging.gate_curve_full(spark, str(tmp_path)).collect()}
     assert len(gates) == 10 and gates[0.0] == 0 and gates[1.01] == 1
+
+
+def test_similar_pairs_are_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(i, rng.choice(["g", "g", "h", None]), [f"w{rng.randrange(9)}" for _ in range(rng.randrange(0, 8))]) for i in range(90)] + [(200 + i, "g", ["same", "words", "here"]) for i in range(30)]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and a[1] == b[1] and a[2] and b[2] and 2 * len(set(a[2]) & set(b[2])) > len(set(a[2]) | set(b[2]))}
+    got = dedup.similar_pairs(spark.createDataFrame(rows, "i long, g string, w array<string>"), "i", "g", "w")
+    assert {(r["a"], r["b"]) for r in got.collect()} == want
