@@ -93,5 +93,28 @@ def rotations(values: Column, n: int) -> list[Column]:
     return [values if k == 0 else F.concat(F.slice(values, k + 1, n), F.slice(values, 1, k)) for k in range(n)]
 
 
+def view_orders(n: int, views: int, *, reverse: bool = True) -> list[list[int]]:
+    """Different orders in which a question of ``n`` options is shown: as it is, reversed (unless not wanted), then shifted by even steps; no order twice, so there can be fewer than ``views``."""
+    if views < 1:
+        raise ValueError("at least one view")
+    straight = list(range(n))
+    orders = [straight]
+    if n > 1 and views > 1:
+        orders += [straight[::-1]] if reverse else []
+        shifts = [v * n // views for v in range(len(orders), views)]
+        orders += [straight[s:] + straight[:s] for s in shifts]
+    return list(map(list, dict.fromkeys(map(tuple, orders))))[:views]
+
+
+def shown_in(values: Column, order: list[int]) -> Column:
+    """Values in the order in which they are shown."""
+    return F.array(*[F.get(values, F.lit(i)) for i in order])
+
+
+def average_of_views(views: list[tuple[Column, list[int]]]) -> Column:
+    """Mean of the distributions of several views, each brought back to the first order."""
+    return mean_of([F.array(*[F.get(v, F.lit(order.index(i))) for i in range(len(order))]) for v, order in views])
+
+
 def geometric_grid(low: float, high: float, points: int) -> list[float]:
     return [math.exp(math.log(low) + (math.log(high) - math.log(low)) * i / (points - 1)) for i in range(points)]

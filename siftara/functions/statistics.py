@@ -95,6 +95,57 @@ def paired_bootstrap(df: DataFrame, first: str, second: str, strata: str, *, rep
     return per.groupBy("replicate").agg(F.avg("first").alias("first"), F.avg("second").alias("second"))
 
 
+def cluster_bootstrap(df: DataFrame, group: str, agree: str, total: str, *, replicates: int = 10_000, seed: str = "bootstrap") -> DataFrame:
+    """replicate and share: the agreement over as many groups as there are, drawn with replacement, each with all of its rows.
+
+    Only how often each pair of group sums is drawn matters, so groups with the same sums are counted together and the counts are drawn.
+    """
+    sums = df.groupBy(group).agg(F.sum(agree).cast("double").alias("a"), F.sum(total).cast("double").alias("t"))
+    cells = sums.groupBy("a", "t").agg(F.count("*").alias("n")).where("t > 0")
+
+    def draw(frame):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        frame = frame.sort_values(["a", "t"])
+        n = frame["n"].to_numpy()
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(seed.encode()).digest()[:8], "big"))
+        drawn = rng.multinomial(n.sum(), n / n.sum(), size=replicates)
+        return pd.DataFrame({"replicate": range(replicates), "share": (drawn @ frame["a"].to_numpy()) / (drawn @ frame["t"].to_numpy())})
+
+    # one row for each different pair of sums, far fewer than groups
+    return cells.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(draw, "replicate int, share double")
+
+
+def skill_bootstrap(df: DataFrame, source: str, first: str, second: str, chance: str, *, replicates: int = 1_000, seed: str = "bootstrap") -> DataFrame:
+    """replicate, first, second and difference: the means over the sources of two systems' skill over chance on the same resampled questions of each source.
+
+    A source of n questions is resampled by n draws; questions alike in both credits and chance are counted together. A source whose questions leave nothing to chance has skill 0.
+    """
+    cells = df.groupBy(F.col(source).cast("string").alias("source"), F.col(first).cast("double").alias("a"), F.col(second).cast("double").alias("b"), F.col(chance).cast("double").alias("c")).agg(F.count("*").alias("n"))
+
+    def draw(frame):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        name = frame["source"].iloc[0]
+        frame = frame.sort_values(["a", "b", "c"])
+        n = frame["n"].to_numpy()
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(f"{seed}:{name}".encode()).digest()[:8], "big"))
+        drawn = rng.multinomial(n.sum(), n / n.sum(), size=replicates) / n.sum()
+        a, b, c = (drawn @ frame[x].to_numpy() for x in "abc")
+        skill = lambda x: np.where(c < 1, (x - c) / np.where(c < 1, 1 - c, 1), 0.0)
+        return pd.DataFrame({"replicate": range(replicates), "first": skill(a), "second": skill(b)})
+
+    # a source has as many rows here as different credits and chances
+    per = cells.groupBy("source").applyInPandas(draw, "replicate int, first double, second double")
+    return per.groupBy("replicate").agg(F.avg("first").alias("first"), F.avg("second").alias("second")).withColumn("difference", F.col("first") - F.col("second"))
+
+
 def interval(replicates: DataFrame, value: str = "macro", level: float = 0.95) -> DataFrame:
     """low and high by rank: the replicates outside them are no more than the level leaves over on each side."""
     tail = (1 - level) / 2

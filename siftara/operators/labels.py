@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,3 +73,58 @@ def combine(named: Mapping[str, Column], *, method: str = "mean", weights: Mappi
         for probs, _ in parts:
             out = F.when(probs.isNotNull(), out)
     return F.when(weight > 0, out)
+
+
+METHODS = ("single", "mean", "calibrated_mean", "logpool")
+
+
+@dataclass(frozen=True)
+class Recipe:
+    """How the labels of a kind of question are combined: by a method, from one teacher or several with weights and temperatures."""
+
+    method: str
+    teacher: str | None = None
+    teachers: Mapping[str, tuple[float, float | None]] = field(default_factory=dict)
+
+    def problems(self) -> list[str]:
+        if self.method not in METHODS:
+            return ["method"]
+        if self.method == "single":
+            return [] if self.teacher else ["teacher"]
+        lacking = self.method == "calibrated_mean" and any(t is None for _, t in self.teachers.values())
+        return ["teachers"] * (not self.teachers) + ["temperature"] * lacking + ["number"] * any(not x > 0 for w, t in self.teachers.values() for x in (w, t) if x is not None)
+
+
+def recipes(stated: Mapping[str, object], types: Sequence[str]) -> dict[str, Recipe]:
+    """The recipe of each type of question from a stated one with overrides: what an override leaves out it has from the whole, a teacher's weight and temperature included. A wrong or unknown field is an error."""
+
+    def teachers(raw: Mapping[str, Mapping[str, float]], base: Mapping[str, tuple[float, float | None]]) -> dict[str, tuple[float, float | None]]:
+        stray = {k for v in raw.values() for k in v} - {"weight", "temperature"}
+        if stray:
+            raise ValueError(f"unknown fields of a teacher: {sorted(stray)}")
+        return {n: (v.get("weight", base.get(n, (1.0, None))[0]), v.get("temperature", base.get(n, (1.0, None))[1])) for n, v in raw.items()}
+
+    overrides = stated.get("by_question_type") or {}
+    stray = sorted(set(stated) - {"version", "method", "teacher", "teachers", "by_question_type"}) + sorted(set(overrides) - set(types)) + sorted({k for o in overrides.values() for k in o} - {"method", "teacher", "teachers"})
+    if stray:
+        raise ValueError(f"unknown fields or types: {stray}")
+    whole = Recipe(stated.get("method"), stated.get("teacher"), teachers(stated.get("teachers") or {}, {}))
+    out = {}
+    for kind in types:
+        own = overrides.get(kind, {})
+        out[kind] = Recipe(own.get("method", whole.method), own.get("teacher", whole.teacher), teachers(own["teachers"], whole.teachers) if "teachers" in own else whole.teachers)
+        if wrong := out[kind].problems():
+            raise ValueError(f"{kind}: {wrong}")
+    return out
+
+
+def combine_by_type(kind: Column, named: Mapping[str, Column], stored: Mapping[str, float], by_type: Mapping[str, Recipe], *, missing: str = "renormalize") -> Column:
+    """One distribution from several by the recipe of the question's type. ``stored`` are the temperatures the labels were made at. ``missing`` as in ``combine``; error refuses a question that lacks a teacher it needs."""
+    out = F.lit(None).cast("array<double>")
+    for name, r in by_type.items():
+        used = {r.teacher: named[r.teacher]} if r.method == "single" else {t: named[t] for t in r.teachers}
+        mixed = combine(used, method="mean" if r.method == "single" else r.method, weights={t: w for t, (w, _) in r.teachers.items()}, temperatures={t: (stored.get(t, 1.0), x) for t, (_, x) in r.teachers.items() if x is not None}, missing="drop" if missing == "error" else missing)
+        if missing == "error":
+            mixed = F.when(mixed.isNotNull(), mixed).otherwise(F.raise_error(F.lit(f"{name}: a label is missing")).cast("array<double>"))
+        out = F.when(kind == name, mixed).otherwise(out)
+    return out

@@ -327,3 +327,44 @@ def permutation_pvalue(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("k")).count().withColumnRenamed("count", "c")
     rows = n.join(s, "k").join(c, "k").orderBy("k").collect()
     return spark.createDataFrame([(len(rows), S.permutation_p([(r["s"], r["c"]) for r in rows]) if len(rows) > 1 else None)], "n int, p double")
+
+
+@R.add("""with o as (select * from (values (1, [0, 1, 2, 3]), (2, [3, 2, 1, 0]), (3, [2, 3, 0, 1])) t(view, ord)) select view, array_to_string(ord, ',') as shown from o""")
+def view_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders in which a question of four options is shown in three views."""
+    return spark.createDataFrame([(i + 1, ",".join(map(str, o))) for i, o in enumerate(D.view_orders(4, 3))], "view int, shown string")
+
+
+@R.add(f"with {_P} select vec_id, k::int as k, round(pa, 6) as p from p")
+def tta_views_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """A distribution seen in three orders, each brought back, and averaged: the distribution again."""
+    orders = D.view_orders(4, 3)
+    mean = D.average_of_views([(D.shown_in(F.col("pa"), o), o) for o in orders])
+    return _systems(spark, folder).select("vec_id", F.posexplode(mean).alias("k", "p")).select("vec_id", "k", F.round("p", 6).alias("p"))
+
+
+@R.add(f"""with {_P}, q as (select p.*, case when vec_id % 3 = 0 then 'choice' when vec_id % 3 = 1 then 'score' else 'noul' end as type from p),
+    mixed as (select vec_id, k, case type when 'choice' then (3 * pa + pb) / 4 when 'score' then pb else sqrt(greatest(pa, 1e-12) * greatest(pb, 1e-12)) end as x from q)
+    select vec_id, k::int as k, round(x / sum(x) over (partition by vec_id), 6) as p from mixed""")
+def combine_by_type(spark: SparkSession, folder: str) -> DataFrame:
+    """Two systems combined by the recipe of each type of question: a weighted mean, one of them, a log pool."""
+    stated = {"method": "mean", "teachers": {"a": {"weight": 3}, "b": {}}, "by_question_type": {"score": {"method": "single", "teacher": "b"}, "noul": {"method": "logpool", "teachers": {"a": {"weight": 1}, "b": {}}}}}
+    kind = F.element_at(F.array(F.lit("choice"), F.lit("score"), F.lit("noul")), (F.col("vec_id") % 3 + 1).cast("int"))
+    mixed = labels.combine_by_type(kind, {"a": F.col("pa"), "b": F.col("pb")}, {}, labels.recipes(stated, ("choice", "score", "noul")))
+    return _systems(spark, folder).select("vec_id", F.posexplode(mixed).alias("k", "p")).select("vec_id", "k", F.round("p", 6).alias("p"))
+
+
+@R.add()
+def cluster_bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
+    """95 % interval of the share of good messages, whole groups resampled."""
+    d = table(spark, folder, "deliveries").select("group_id", F.coalesce(F.col("status") == "ok", F.lit(False)).cast("int").alias("ok"), F.lit(1).alias("one"))
+    return S.interval(S.cluster_bootstrap(d, "group_id", "ok", "one"), "share")
+
+
+@R.add()
+def skill_bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
+    """95 % interval of the difference of two systems' skill over chance, averaged over the labels as sources."""
+    s = _systems(spark, folder)
+    credit = lambda p: D.tie_credit(F.col(p), F.col("gold"))
+    rows = s.select("gold", credit("pa").alias("a"), credit("pb").alias("b"), F.lit(0.25).alias("c"))
+    return S.interval(S.skill_bootstrap(rows, "gold", "a", "b", "c"), "difference")

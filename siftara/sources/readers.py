@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siftara.sources.sealed import read_sealed
+from siftara.storage import file_system
+
 
 class ReadQualityError(RuntimeError):
     """A source of which too little could be read."""
@@ -26,7 +31,17 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.where(F.col("value").rlike(r"\}\s*$") & F.col("r").isNotNull() & F.json_object_keys("value").isNotNull()).select("r.*")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def require_digest(spark: SparkSession, path: str, sha256: str) -> None:
+    """An error where the file is not the one with this digest."""
+    held = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()
+    if held is None or held[0] != sha256.lower():
+        raise ReadQualityError(f"{path}: not the file that was asked for")
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, *, sha256: str | None = None) -> DataFrame:
+    """CSV with a header; with ``sha256`` only the file of that digest is read."""
+    if sha256:
+        require_digest(spark, path, sha256)
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     return (reader.schema(schema) if schema else reader).csv(path)
 
@@ -84,6 +99,80 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.lower(line).alias("sha256"), F.regexp_extract("value", r"^[0-9a-fA-F]{64}\s+\*?(.+)$", 1).alias("name")).where("sha256 <> ''")
 
 
+#: Columns of corpus rows, teacher labels and reasoning traces.
+CORPUS = "example_id string, source string, license string, split string, lang string, request string, gold string"
+LABELS = "example_id string, question_id string, teacher string, codes array<string>, probs array<float>, temperature double"
+TRACES = "example_id string, thinker string, reasoning string, tokens int, finish_reason string, request_sha256 string"
+
+
+def read_typed(spark: SparkSession, folder: str, schema: str, *, required: bool = True) -> DataFrame:
+    """A sealed folder as rows of one of the fixed kinds: the columns by name and type; a column that is not there is an error."""
+    held = read_sealed(spark, folder, required=required)
+    wanted = spark.createDataFrame([], schema).schema
+    missing = [f.name for f in wanted if f.name not in held.columns]
+    if missing:
+        raise ReadQualityError(f"{folder}: no columns {missing}")
+    return held.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])
+
+
+def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A file or folder by what it is called: .parquet, .csv, .jsonl, .jsonl.gz or .json."""
+    name = path.rstrip("/").lower()
+    if name.endswith(".parquet"):
+        return spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
+    if name.endswith((".csv", ".csv.gz")):
+        return read_csv(spark, path, schema)
+    if name.endswith((".jsonl", ".jsonl.gz", ".json")):
+        return read_jsonl(spark, path, schema)
+    raise ValueError(f"{path}: not a kind of file that is read")
+
+
+def read_tree(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """All parquet and JSON-lines files under a folder, however deep, as rows of one schema with the file they are from. Files of other kinds are left out."""
+    deep = spark.read.schema(schema).option("recursiveFileLookup", True)
+    parts = [deep.option("pathGlobFilter", "*.parquet").parquet(folder), deep.option("pathGlobFilter", "*.jsonl").json(folder), deep.option("pathGlobFilter", "*.jsonl.gz").json(folder)]
+    return reduce(DataFrame.unionByName, [p.withColumn("file", F.col("_metadata.file_path")) for p in parts])
+
+
+def read_wanted(spark: SparkSession, path: str, schema: str, id_pattern: str, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of a log whose id is wanted: the id is taken from the raw line by a pattern and looked up before any line is parsed."""
+    raw = spark.read.text(path).select("value", F.regexp_extract("value", id_pattern, 1).alias("_id"))
+    kept = raw.join(wanted.select(F.col(key).cast("string").alias("_id")).distinct(), "_id", "left_semi")
+    return kept.select(F.from_json("value", schema).alias("r")).select("r.*").where(F.col(key).isNotNull())
+
+
+def slim(results: DataFrame, wanted: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """The key and some columns of the results that are wanted; the scan reads no others."""
+    return results.select(key, *columns).join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def check_sums(spark: SparkSession, listing: str, folder: str) -> DataFrame:
+    """name and state of every file that a checksum list or the folder has: same, changed, missing or unlisted."""
+    listed = checksums(spark, listing).select(F.element_at(F.split("name", "/"), -1).alias("name"), F.col("sha256").alias("_want"))
+    held = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("_have"))
+    state = F.when(F.col("_have").isNull(), "missing").when(F.col("_want").isNull(), "unlisted").when(F.col("_have") == F.col("_want"), "same").otherwise("changed")
+    return listed.join(held, "name", "full_outer").select("name", state.alias("state"))
+
+
+def task_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """task, files and digest of every folder of tasks: its files under it and the digest of their names and contents. Two tasks with the same contents have the same digest."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    fs, p = file_system(spark, folder)
+    base = fs.makeQualified(p).toUri().getPath().rstrip("/") + "/"
+    inside = F.split(F.substring("path", F.locate(base, F.col("path")) + len(base), F.length("path")), "/")
+    named = files.select(F.get(inside, F.lit(0)).alias("task"), F.array_join(F.slice(inside, 2, 1000), "/").alias("name"), F.sha2("content", 256).alias("sha")).where("name <> ''")
+    return named.groupBy("task").agg(F.count("*").alias("files"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "sha"))), lambda x: F.concat(x["name"], F.lit(" "), x["sha"])), "\n"), 256).alias("digest"))  # a task is a small folder
+
+
+def registry(spark: SparkSession, entries: Mapping[str, Mapping[str, object]], overlay: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
+    """Source entries as rows of key, field and value (JSON text), with fields of an overlay over those of the same key; a key that only the overlay has is an error."""
+    stray = sorted(set(overlay or {}) - set(entries))
+    if stray:
+        raise ValueError(f"not in the registry: {stray}")
+    merged = {k: {**v, **(overlay or {}).get(k, {})} for k, v in entries.items()}
+    return spark.createDataFrame([(k, f, json.dumps(x, sort_keys=True, ensure_ascii=False)) for k, v in sorted(merged.items()) for f, x in sorted(v.items())], "key string, field string, value string")
+
+
 def describe(df: DataFrame) -> DataFrame:
     """column, type and nullability of a table."""
     return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields], "column string, type string, nullable boolean")
