@@ -11,6 +11,7 @@ from siftara.functions import text as T
 from siftara.operators import labels
 from siftara.operators import requests as Q
 from siftara.operators import sequences as S
+from siftara.operators.envelope import rule_counts
 from siftara.plans.registry import Registry
 from siftara.tables import table
 
@@ -47,6 +48,12 @@ def envelope_check(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", n(r"(?m)^\s*<([a-z]+)>\s*$").alias("opened"), n(r"(?m)^\s*</([a-z]+)>\s*$").alias("closed")).where("opened <> closed")
 
 
+@R.add()
+def loop_check(spark: SparkSession, folder: str) -> DataFrame:
+    """How often loop traces break each rule of their envelope, their root tag being loop."""
+    return rule_counts(table(spark, folder, "documents").where("doc_kind = 'trace'"), "text", root="loop")
+
+
 @R.add("select case_id, sha256(substr(original, 1, strpos(original, search) - 1) || replacement || substr(original, strpos(original, search) + length(search))) as patched from cases where strpos(original, search) > 0 and search <> ''")
 def apply_patches(spark: SparkSession, folder: str) -> DataFrame:
     """Digest of every record's original after its edit."""
