@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftara.llm.ranking import DIGITS
+from siftara.operators.ranks import DIGITS
 from siftara.skew import heavy_keys, split_join
 from siftara.storage import materialize
 
