@@ -1,9 +1,9 @@
 import pytest
 
-from siftara.plans import corpus, evaluation, general, judging, pipelines, records, sequences
+from siftara.plans import basics, corpus, evaluation, general, judging, pipelines, records, sequences
 from tests.oracle import DATA, same, views
 
-PLANS = [general, corpus, judging, records, evaluation, pipelines, sequences]
+PLANS = [general, corpus, judging, records, evaluation, basics, pipelines, sequences]
 CASES = [(name, plan) for plan in PLANS for name in plan.QUERIES]
 
 
