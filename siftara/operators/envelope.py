@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
-#: The root tag, the phases in order with their points, the phase of the edit blocks, and a line that only fills.
-ROOT = "simplicio_loop"
+#: The root tag (a parameter of the checks), and fixed values: the phases in order with their points, the phase of the edit blocks, and a line that only fills.
+ROOT = "loop"
 PHASES = {"orient": (1, 10), "plan": (11, 20), "patch": (21, 30), "validate": (31, 40), "deliver": (41, 50)}
 EDITS, FILL = "patch", "…"
 #: Names of the rules.

@@ -51,7 +51,7 @@ def envelope_check(spark: SparkSession, folder: str) -> DataFrame:
 @R.add()
 def loop_check(spark: SparkSession, folder: str) -> DataFrame:
     """How often loop traces break each rule of their envelope, their root tag being loop."""
-    return rule_counts(table(spark, folder, "documents").where("doc_kind = 'trace'"), "text", root="loop")
+    return rule_counts(table(spark, folder, "documents").where("doc_kind = 'trace'"), "text")
 
 
 @R.add("select case_id, sha256(substr(original, 1, strpos(original, search) - 1) || replacement || substr(original, strpos(original, search) + length(search))) as patched from cases where strpos(original, search) > 0 and search <> ''")
