@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,21 @@ def test_conflicting_labels_are_an_error(spark):
         labels.pivot_labels(q, same.unionByName(spark.createDataFrame([(1, "u", 3.0)], same.schema)), ["k"], "who", "v").collect()
 
 
+def test_pivoted_labels_are_those_of_the_sql(spark, tmp_path):
+    from siftara.plans import judging
+
+    rows = [(1, 4, "r_5"), (1, 2, "r_5"), (1, 3, "r_4"), (2, 3, "r_1"), (2, 5, "r_10"), (2, 5, "r_10"), (2, None, "r_2"), (3, 1, None), (3, 2, "r_3"), (4, 2, None), (5, None, "r_1"), (9, 1, "r_1"), (None, 1, "r_1"), (7, 2, "")]
+    spark.createDataFrame(rows, "doc_id long, level int, rater string").write.parquet(f"{tmp_path}/level_labels.parquet")
+    spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 6, 7, None)], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "level_labels"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {1: "r_4=3,r_5=2", 2: "r_1=3,r_10=5", 3: "r_3=2", 4: None, 7: "=2"}
+    assert dict(con.execute(judging.SQL["pivoted_labels"]).fetchall()) == want
+    got = judging.pivoted_labels(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r["doc_id"]: r["pairs"] for r in got} == want
+
+
 def test_final_numbers(spark):
     df = spark.createDataFrame([("so #### 1,234",), ("#### -2.50 x",), ("none",), (None,), ("#### .5",)], "t string")
     assert [r[0] for r in df.select(requests.final_number(F.col("t"))).collect()] == ["1234", "-2.5", None, None, "0.5"]
